@@ -445,8 +445,15 @@ def preview_mapping(df: DataFrame, column: str, vocab: str) -> DataFrame:
 
 @action("validate_json", row_wise=True)
 def validate_json(df: DataFrame, column: str, flag_col: str | None = None) -> DataFrame:
-    return df.withColumn(flag_col or f"{column}_is_json",
-                         F.coalesce(F.try_parse_json(col(column)).isNotNull(), F.lit(False)))
+    """True for exactly one JSON value.
+
+    The JSON readers stop after the first value, so the text is also read as the
+    only element of an array and as a member of an object.
+    """
+    c = col(column).cast("string")
+    alone = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
+    return df.withColumn(flag_col or f"{column}_is_json", F.coalesce(alone & member, F.lit(False)))
 
 
 @action("flatten_json")
