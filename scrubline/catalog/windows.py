@@ -82,8 +82,8 @@ def cumulative_sum(t):
 
 @query("cumulative_stats", """
 SELECT event_id, round(sum(value) OVER w, 2) AS value_cum_sum, max(value) OVER w AS value_cum_max, min(value) OVER w AS value_cum_min,
-  round(avg(value) OVER w, 3) AS value_cum_mean FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id)""")
+  round(avg(value) OVER w, 7) AS value_cum_mean FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id)""")
 def cumulative_stats(t):
     df = events(t).withColumn("g", F.col("user_id") % 3)
     out = windows.cumulative_stats(df, "value", ["sum", "max", "min", "mean"], partition_by="g", order_by=ORDER, rows_per_bucket=1200)
-    return rounded(rounded(out, "value_cum_sum", digits=2), "value_cum_mean", digits=3).drop("user_id", "ts", "value", "g")
+    return rounded(rounded(out, "value_cum_sum", digits=2), "value_cum_mean", digits=7).drop("user_id", "ts", "value", "g")
