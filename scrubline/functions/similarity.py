@@ -10,40 +10,11 @@ from pyspark.sql.types import DoubleType
 from .text import squeeze
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * longest common subsequence / total length, by bit-parallel rows."""
-    total = len(a) + len(b)
-    if total == 0:
-        return 100.0
-    if a == b:
-        return 100.0
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    state = full
-    for ch in b:
-        hit = state & masks.get(ch, 0)
-        state = ((state + hit) | (state - hit)) & full
-    common = len(a) - bin(state).count("1")
-    return 200.0 * common / total
+def _score_function():
+    """100 * 2 * longest common subsequence / total length, by bit-parallel rows.
 
-
-def ratio(a: Column, b: Column) -> Column:
-    """Exact insert/delete ratio of two texts.
-
-    ``indel_ratio`` is small and travels with the batch function.
+    Made inside a function so that it travels to workers by value.
     """
-    score = _portable()
-
-    def batch(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([score(x, y) if x is not None and y is not None else None for x, y in zip(left, right)], dtype="float64")
-
-    return F.pandas_udf(batch, DoubleType())(a, b)
-
-
-def _portable():
-    """Nested copy of ``indel_ratio`` so that workers need no import of this package."""
     def score(a, b):
         total = len(a) + len(b)
         if total == 0 or a == b:
@@ -57,12 +28,26 @@ def _portable():
             hit = state & masks.get(ch, 0)
             state = ((state + hit) | (state - hit)) & full
         return 200.0 * (len(a) - bin(state).count("1")) / total
+
     return score
 
 
+indel_ratio = _score_function()
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """Exact insert/delete ratio of two texts."""
+    score = _score_function()
+
+    def batch(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([score(x, y) if x is not None and y is not None else None for x, y in zip(left, right)], dtype="float64")
+
+    return F.pandas_udf(batch, DoubleType())(a, b)
+
+
 def partial_ratio(a: Column, b: Column) -> Column:
     """Best ratio of the shorter text against any window of the longer one."""
-    score = _portable()
+    score = _score_function()
 
     def best(x, y):
         short, long = (x, y) if len(x) <= len(y) else (y, x)
