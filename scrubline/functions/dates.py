@@ -25,6 +25,19 @@ def spark_format(strftime: str) -> str:
     return out
 
 
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_M, _D = r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
+DATE_LIKE = (
+    rf"(?i)^\s*(?:\d{{4}}[-/.]{_M}[-/.]{_D}(?:[ T].*)?|{_D}[-/.]{_M}[-/.]\d{{4}}(?: .*)?|{_M}[-/.]{_D}[-/.]\d{{4}}(?: .*)?"
+    rf"|{_MONTH} {_D},? \d{{4}}|{_D} {_MONTH},? \d{{4}})\s*$"
+)
+
+
+def date_like(c: Column) -> Column:
+    """Cheap test for date layouts: one pattern instead of a parse, for share counts."""
+    return c.rlike(DATE_LIKE)
+
+
 def parse_dates(c: Column, dayfirst: bool = True) -> Column:
     """Text in any of the common layouts -> TIMESTAMP_NTZ, null if none fits.
 

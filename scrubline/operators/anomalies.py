@@ -1 +1,309 @@
-"""Placeholder."""
+"""Outliers, anomalous text, forests, clusters and time series."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..core import action, as_list, chosen, col, is_numeric, is_temporal, numeric_columns, string_columns
+from ..functions.dates import as_timestamp
+from ..functions.numbers import to_number
+from ..functions.stats import moments, quantiles
+from .ordered import over_rows, running
+from .profile import union_all
+from .rows import fences
+
+
+def _outliers(df: DataFrame, limits: dict[str, tuple], method: str) -> DataFrame:
+    """``(column, method, outlier_count, lower, upper, severity)`` from one aggregate."""
+    if not limits:
+        return df.sparkSession.createDataFrame(
+            [], "column string, method string, outlier_count long, lower_bound double, upper_bound double, severity string")
+    exprs = []
+    for i, (name, (low, high)) in enumerate(limits.items()):
+        exprs += [F.count_if((col(name) < low) | (col(name) > high)).alias(f"o{i}"), F.count(col(name)).alias(f"n{i}")]
+    items = [
+        F.struct(F.lit(name).alias("column"), F.lit(method).alias("method"), F.col(f"o{i}").alias("outlier_count"),
+                 F.lit(float(low)).alias("lower_bound"), F.lit(float(high)).alias("upper_bound"),
+                 F.when(F.col(f"o{i}") > F.col(f"n{i}") * 0.05, "high").otherwise("medium").alias("severity"))
+        for i, (name, (low, high)) in enumerate(limits.items())
+    ]
+    return df.agg(*exprs).select(F.inline(F.array(*items)))
+
+
+def detect_outliers_iqr(df: DataFrame, columns=None, k: float = 3.0) -> DataFrame:
+    """Counts outside the k-IQR fence; a column whose IQR is 0 is left out."""
+    names = [c for c in chosen(df, columns, numeric_columns(df)) if is_numeric(df, c)]
+    limits = {c: f for c, f in fences(df, names, "iqr", k).items() if f[0] < f[1]}
+    return _outliers(df, limits, "IQR")
+
+
+def detect_outliers_zscore(df: DataFrame, columns=None, threshold: float = 3.0, population: bool = True) -> DataFrame:
+    """Counts beyond the threshold; ``population=False`` uses the sample deviation."""
+    names = [c for c in chosen(df, columns, numeric_columns(df)) if is_numeric(df, c)]
+    return _outliers(df, fences(df, names, "zscore", threshold, population), "Z-score" if population else "GrubbsTest")
+
+
+@action("flag_anomalies", "detect_anomalies")
+def flag_anomalies(df: DataFrame, columns, method: str = "iqr", threshold: float = 3, anomaly_column: str = "is_anomaly") -> DataFrame:
+    names = [c for c in as_list(columns) if c in df.columns]
+    flag = F.lit(False)
+    for c, (low, high) in fences(df, names, method, threshold).items():
+        flag = flag | F.coalesce((col(c) < low) | (col(c) > high), F.lit(False))
+    return df.withColumn(anomaly_column, flag)
+
+
+# -------------------------------------------------------------- isolation forest
+
+def _grow(names: list[str], max_depth: int):
+    """Function that grows one random isolation tree from its sample (a few hundred rows)."""
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        tree = int(pdf["_tree"].iloc[0])
+        data = pdf.sort_values("_h")[names].to_numpy(dtype=float)
+        rng = np.random.default_rng(tree)
+        nodes = []
+
+        def split(rows, depth):
+            at = len(nodes)
+            nodes.append(None)
+            spans = [j for j in range(data.shape[1]) if len(rows) > 1 and data[rows, j].min() < data[rows, j].max()]
+            if depth >= max_depth or not spans:
+                nodes[at] = (tree, at, -1, 0.0, -1, -1, len(rows))
+                return at
+            j = spans[rng.integers(len(spans))]
+            cut_at = rng.uniform(data[rows, j].min(), data[rows, j].max())
+            left = split(rows[data[rows, j] < cut_at], depth + 1)
+            right = split(rows[data[rows, j] >= cut_at], depth + 1)
+            nodes[at] = (tree, at, j, float(cut_at), left, right, len(rows))
+            return at
+
+        split(np.arange(len(data)), 0)
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "size"])
+
+    return grow
+
+
+def _scorer(trees: list[list[tuple]], sample: int):
+    """Arrow batch function: anomaly score 2^(-mean depth / expected depth)."""
+    def score(*columns: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def expected(n):
+            n = np.asarray(n, dtype=float)
+            big = np.maximum(n, 2.0)
+            value = 2.0 * (np.log(np.maximum(big - 1.0, 1.0)) + 0.5772156649) - 2.0 * (big - 1.0) / big
+            return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
+
+        data = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        depth = np.zeros(len(data))
+        for nodes in trees:
+            feature, cut_at, left, right, size = (np.array(x) for x in zip(*nodes))
+            at = np.zeros(len(data), dtype=int)
+            steps = np.zeros(len(data))
+            moving = feature[at] >= 0
+            while moving.any():
+                rows = np.nonzero(moving)[0]
+                here = at[rows]
+                below = data[rows, feature[here]] < cut_at[here]
+                at[rows] = np.where(below, left[here], right[here])
+                steps[rows] += 1
+                moving[rows] = feature[at[rows]] >= 0
+            depth += steps + expected(size[at])
+        mean = depth / max(len(trees), 1)
+        result = 2.0 ** (-mean / max(float(expected(sample)), 1e-9))
+        result[np.isnan(data).any(axis=1)] = np.nan
+        return pd.Series(result)
+
+    return score
+
+
+@action("isolation_forest")
+def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, trees: int = 100, sample: int = 256,
+                     seed: int = 42, score_col: str = "anomaly_score", flag_col: str = "is_anomaly") -> DataFrame:
+    """Score and flag of every row.
+
+    Every tree is grown by one task from at most ``sample`` hashed rows; the
+    forest (at most trees * 2 * sample small nodes) scores all rows in Arrow
+    batches.
+    """
+    names = [c for c in chosen(df, columns, numeric_columns(df)) if is_numeric(df, c)]
+    values = df.select(*[col(c).cast("double").alias(c) for c in names]).dropna()
+    count = values.count()
+    if not count:
+        return df.withColumns({score_col: F.lit(None).cast("double"), flag_col: F.lit(False)})
+    sample = min(sample, count)
+    # on average 1.3 * sample rows per tree are drawn, then cut to sample
+    rate = min(trees * sample * 1.3 / count, float(trees))
+    picked = values.withColumn("_n", (F.floor(F.lit(rate)) + (F.rand(seed) < rate - int(rate)).cast("long"))).where("_n > 0")
+    drawn = picked.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn(
+        "_h", F.xxhash64(*[col(c) for c in names], F.lit(seed), F.col("_d"), F.rand(seed + 1))).withColumn(
+        "_tree", F.pmod("_h", F.lit(trees)).cast("int"))
+    ranked = drawn.withColumn("_r", F.row_number().over(W.partitionBy("_tree").orderBy("_h"))).where(F.col("_r") <= sample)
+    depth = max(1, (sample - 1).bit_length())
+    grown = ranked.select("_tree", "_h", *[col(c) for c in names]).groupBy("_tree").applyInPandas(
+        _grow(names, depth), "tree int, node int, feature int, cut double, left int, right int, size int")
+    forest: dict[int, list[tuple]] = {}
+    for r in grown.orderBy("tree", "node").collect():
+        forest.setdefault(r.tree, []).append((r.feature, r.cut, r.left, r.right, r["size"]))
+    score = F.pandas_udf(_scorer(list(forest.values()), sample), "double")
+    scored = df.withColumn(score_col, score(*[col(c).cast("double") for c in names]))
+    cut_at = quantiles(scored, {"s": col(score_col)}, [1 - contamination])["s"][0]
+    return scored.withColumn(flag_col, F.coalesce(col(score_col) > F.lit(cut_at), F.lit(False)))
+
+
+@action("cluster_anomalies")
+def cluster_anomalies(df: DataFrame, column: str, k: int = 3, quantile: float = 0.95, seed: int = 42,
+                      flag_col: str = "is_anomaly") -> DataFrame:
+    """Rows far from the nearest k-means centre of the scaled column."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    m = moments(df, {"v": col(column)})["v"]
+    if not m["pstd"]:
+        return df.withColumn(flag_col, F.lit(False))
+    scaled = (col(column).cast("double") - m["mean"]) / m["pstd"]
+    vectors = VectorAssembler(inputCols=["_z"], outputCol="features").transform(
+        df.select(scaled.alias("_z")).where("_z is not null"))
+    centres = [float(c[0]) for c in KMeans(k=k, seed=seed).fit(vectors).clusterCenters()]
+    gaps = [F.abs(scaled - c) for c in centres]
+    distance = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+    limit = quantiles(df, {"d": distance}, [quantile])["d"][0]
+    return df.withColumn(flag_col, F.coalesce(distance > limit, F.lit(False)))
+
+
+# ------------------------------------------------------------------ text, domain
+
+# --- fixed values ------------------------------------------------------------
+SUSPICIOUS = r"(?i)[<>\"']|test|fake|sample"
+REPEATED = r"^(.+?)\1{3,}"
+# --- end of fixed values -----------------------------------------------------
+
+
+def text_anomalies(df: DataFrame, columns=None) -> DataFrame:
+    """``(column, type, count)``: unusual length (below 10 % of rows), suspicious content, repeats."""
+    parts = []
+    for name in as_list(columns) or string_columns(df):
+        text = col(name)
+        m = moments(df, {"l": F.length(text)})["l"]
+        far = F.abs((F.length(text) - m["mean"]) / m["std"]) > 2 if m["std"] else F.lit(False)
+        counted = df.agg(F.count(text).alias("n"), F.count_if(far).alias("l"), F.count_if(text.rlike(SUSPICIOUS)).alias("s"),
+                         F.count_if(text.rlike(REPEATED)).alias("r"))
+        items = F.array(*[F.struct(F.lit(name).alias("column"), F.lit(t).alias("type"), c.alias("count")) for t, c in (
+            ("unusual_length", F.when(F.col("l") < F.col("n") * 0.1, F.col("l")).otherwise(0)),
+            ("suspicious_content", F.col("s")), ("repeated_pattern", F.col("r")))])
+        parts.append(counted.select(F.inline(items)))
+    return union_all(parts).where(F.col("count") > 0)
+
+
+def domain_anomalies(df: DataFrame, domain: str, as_of: str | None = None) -> DataFrame:
+    """``(column, type, count)`` of format and amount checks of healthcare or financial tables, and future dates."""
+    found = []
+    now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
+    for name in df.columns:
+        low, text = name.lower(), col(name).cast("string")
+        if domain == "healthcare":
+            if "icd" in low:
+                found.append((name, "invalid_icd_code", ~text.rlike(r"^[A-Z]\d{2}(\.\d{1,2})?$")))
+            if "ssn" in low or "social" in low:
+                found.append((name, "invalid_ssn_format", ~text.rlike(r"^\d{3}-\d{2}-\d{4}$")))
+        if domain == "financial" and any(w in low for w in ("amount", "price", "cost", "balance")):
+            value = to_number(col(name), is_numeric(df, name))
+            found.append((name, "negative_amount", value < 0))
+            top = quantiles(df, {"v": value}, [0.99])["v"][0]
+            if top is not None:
+                found.append((name, "extreme_amount", value > top * 10))
+        if "date" in low or "time" in low or is_temporal(df, name):
+            found.append((name, "future_date", as_timestamp(df, name, False) > now))
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, type string, count long")
+    counted = df.agg(*[F.count_if(test).alias(f"c{i}") for i, (_n, _t, test) in enumerate(found)])
+    items = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("count"))
+                      for i, (n, t, _x) in enumerate(found)])
+    return counted.select(F.inline(items)).where(F.col("count") > 0)
+
+
+# ------------------------------------------------------------------ time series
+
+def decompose(df: DataFrame, order_by, value_col: str, period: int, partition_by=None,
+              rows_per_bucket: int | None = None) -> DataFrame:
+    """Adds trend (centred moving mean), seasonal (mean detrended value per phase) and residual."""
+    keys, order = as_list(partition_by), as_list(order_by)
+    data = df.where(col(value_col).isNotNull())
+    half = period // 2
+    value = col(value_col).cast("double")
+    trended = over_rows(data, keys, order, half, half,
+                        lambda w: {"trend": F.avg(value).over(w.rowsBetween(-half, half))}, rows_per_bucket)
+    numbered = running(trended, keys, order, {"_row": ("count", F.lit(1))}, rows_per_bucket=rows_per_bucket)
+    phased = numbered.withColumn("_phase", F.pmod(F.col("_row") - 1, F.lit(period)))
+    means = phased.groupBy(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_phase").alias("_p")).agg(
+        F.avg(value - F.col("trend")).alias("_s"))
+    on = [F.col("_phase") == F.col("_p")] + [col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    joined = phased.join(means, on)
+    out = joined.withColumns({"seasonal": F.col("_s"), "residual": value - F.col("trend") - F.col("_s")})
+    return out.select(*[col(c) for c in df.columns], "_row", "trend", "seasonal", "residual")
+
+
+def timeseries_anomalies(df: DataFrame, order_by, value_col: str, period: int | None = None, partition_by=None,
+                         k: float = 3.0, rows_per_bucket: int | None = None) -> DataFrame:
+    """Rows whose residual leaves the k-IQR fence, with residual and z-score.
+
+    Trend and seasonal parts come from moving means, not from local regression.
+    """
+    period = period or infer_period(df, as_list(order_by)[0])
+    parts = decompose(df, order_by, value_col, period, partition_by, rows_per_bucket)
+    q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
+    std = moments(parts, {"r": F.col("residual")})["r"]["std"] or 1.0
+    if q1 is None:
+        return parts.limit(0)
+    low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+    return parts.where((F.col("residual") < low) | (F.col("residual") > high)).withColumn(
+        "zscore", F.col("residual") / F.lit(std)).drop("_row")
+
+
+def timeseries_summary(df: DataFrame, order_by, value_col: str, period: int | None = None, k: float = 3.0,
+                       rows_per_bucket: int | None = None) -> DataFrame:
+    """One row: anomalies, their kind (level_shift, trending_anomaly, point_anomaly), severity, trend slope."""
+    period = period or infer_period(df, as_list(order_by)[0])
+    parts = decompose(df, order_by, value_col, period, None, rows_per_bucket)
+    q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
+    low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
+    bad = (F.col("residual") < low) | (F.col("residual") > high)
+    totals = parts.agg(F.count("*").alias("rows"), F.count_if(bad).alias("anomaly_count"),
+                       F.regr_slope("trend", F.col("_row").cast("double")).alias("trend_slope"))
+    share = F.try_divide("anomaly_count", "rows")
+    kind = F.when(share > 0.15, "level_shift").when(F.abs("trend_slope") > 0.5, "trending_anomaly").otherwise("point_anomaly")
+    return totals.withColumns({"anomaly_type": kind, "severity": F.when(share > 0.05, "high").otherwise("medium")})
+
+
+def rolling_zscore_anomalies(df: DataFrame, order_by, value_col: str, window: int = 7, min_periods: int = 3, threshold: float = 3.0,
+                             partition_by=None, rows_per_bucket: int | None = None) -> DataFrame:
+    """Adds ``zscore`` against the centred window and ``is_anomaly``."""
+    after = (window - 1) // 2
+    before = window - 1 - after
+    value = col(value_col).cast("double")
+
+    def build(w) -> dict[str, Column]:
+        frame = w.rowsBetween(-before, after)
+        enough = F.count(value).over(frame) >= min_periods
+        std = F.stddev_samp(value).over(frame)
+        return {"zscore": F.when(enough & (std > 0), (value - F.avg(value).over(frame)) / std)}
+
+    out = over_rows(df, partition_by, order_by, before, after, build, rows_per_bucket)
+    return out.withColumn("is_anomaly", F.coalesce(F.abs("zscore") > threshold, F.lit(False)))
+
+
+def infer_period(df: DataFrame, date_col: str, rows_per_bucket: int | None = None) -> int:
+    """Season length from the most common gap: hours 24, days 7, weeks 4, months 12, quarters 4."""
+    stamps = df.select(as_timestamp(df, date_col, False).alias("t")).where("t is not null").distinct()
+    gaps = over_rows(stamps, None, ["t"], 1, 0, lambda w: {
+        "gap": F.round((F.unix_micros(F.col("t").cast("timestamp")) - F.unix_micros(F.lag("t").over(w).cast("timestamp"))) / 3.6e9, 1)}, rows_per_bucket)
+    row = gaps.where("gap is not null").groupBy("gap").count().orderBy(F.desc("count"), "gap").limit(1).collect()
+    hours = row[0].gap if row else 24.0
+    for limit, period in ((12, 24), (3 * 24, 7), (14 * 24, 4), (45 * 24, 12), (120 * 24, 4)):
+        if hours <= limit:
+            return period
+    return 7
