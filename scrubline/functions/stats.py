@@ -1,85 +1,130 @@
 """Statistics that operators need before they can build their expressions.
 
-Everything comes back as ONE small row.  Exact quantiles are found in two
-steps, because an exact ``percentile`` over a whole column would build one map
-of all its distinct values in one task:
+Everything comes back as ONE small row.  An exact ``percentile`` over a whole
+column would build one map of all its distinct values in one task, so exact
+quantiles are found in two passes instead:
 
-1. a bounded sketch (``percentile_approx``) brackets each wanted rank,
-2. an exact ``percentile`` runs only on the values inside the bracket.
+1. a bounded sketch (``percentile_approx``) gives two values around each rank,
+2. one aggregate counts the rows below and at the two values and collects the
+   few rows strictly between them, whose number the sketch error bounds.
 
-A bracket that is still too wide is narrowed again with a new sketch.
+When the bound is still large the sketch is repeated between the two values.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SKETCH = 10_000         # accuracy: rank error at most n / SKETCH
-BRACKET_ROWS = 2_000_000  # values an exact percentile may hold at once
+COLLECT_ROWS = 50_000   # rows between the two values that may come back
+
+
+@dataclass
+class _Target:
+    column: int
+    prob: int
+    rank: float      # position in the sorted values, 0-based
+    low: float
+    high: float
+    between: float   # bound on the rows strictly between low and high
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
-              bracket_rows: int = BRACKET_ROWS) -> dict[str, list]:
+              collect_rows: int = COLLECT_ROWS, sketch: int = SKETCH) -> dict[str, list]:
     """Exact linear-interpolation quantiles of several expressions.
 
     Returns name -> list of values in the order of ``probs`` (None when empty).
     """
     names = list(columns)
     data = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    counts = data.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
-    todo = []  # (column index, prob index, rank position, lower, upper, rows below, rows inside)
+    slack = 2.0 / sketch
+    spread = 6.0 / sketch
+    fractions = [f for p in probs for f in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    first = data.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
+        *[F.percentile_approx(f"v{i}", fractions, sketch).alias(f"e{i}") for i in range(len(names))],
+        *[F.min(f"v{i}").alias(f"min{i}") for i in range(len(names))],
+        *[F.max(f"v{i}").alias(f"max{i}") for i in range(len(names))],
+    ).first()
     result = {n: [None] * len(probs) for n in names}
-    for i, n in enumerate(names):
-        for j, p in enumerate(probs):
-            if counts[i]:
-                todo.append((i, j, p * (counts[i] - 1), None, None, 0, counts[i]))
-    while todo:
-        wide = [t for t in todo if t[6] > bracket_rows and (t[3] is None or t[3] < t[4])]
-        if not wide:
-            break
-        exprs = []
-        for k, (i, j, pos, lo, hi, below, rows) in enumerate(wide):
-            share = (pos - below) / max(rows - 1, 1)
-            slack = 2.0 / SKETCH
-            edges = [max(share - slack, 0.0), min(share + slack, 1.0)]
-            inside = _inside(i, lo, hi)
-            exprs.append(F.percentile_approx(inside, edges, SKETCH).alias(f"e{k}"))
-        edges = data.agg(*exprs).first()
-        exprs = []
-        for k, (i, *_rest) in enumerate(wide):
-            v = F.col(f"v{i}")
-            exprs.append(F.count_if(v < edges[k][0]).alias(f"b{k}"))
-            exprs.append(F.count_if(v.between(edges[k][0], edges[k][1])).alias(f"m{k}"))
-        found = data.agg(*exprs).first()
-        narrowed = {}
-        for k, (i, j, pos, lo, hi, below, rows) in enumerate(wide):
-            below2, rows2 = found[f"b{k}"], found[f"m{k}"]
-            covers = below2 <= math.floor(pos) and math.ceil(pos) <= below2 + rows2 - 1
-            if not covers:
+    targets = []
+    for i in range(len(names)):
+        rows = first[f"n{i}"]
+        for j, p in enumerate(probs if rows else []):
+            if rows <= collect_rows:
+                # too few rows for the sketch's slack to span a whole rank
+                low, high, between = first[f"min{i}"], first[f"max{i}"], rows
+            else:
+                low, high = first[f"e{i}"][2 * j: 2 * j + 2]
+                between = rows * spread
+            targets.append(_Target(i, j, p * (rows - 1), low, high, between))
+    wide = [t for t in targets if t.between > collect_rows]
+    while wide:
+        _narrow(data, wide, slack, spread)
+        wide = [t for t in wide if t.between > collect_rows]
+    exprs = []
+    for k, t in enumerate(targets):
+        v = F.col(f"v{t.column}")
+        exprs += [
+            F.count_if(v < t.low).alias(f"below{k}"), F.count_if(v == t.low).alias(f"low{k}"),
+            F.count_if(v == t.high).alias(f"high{k}"),
+            F.sort_array(F.collect_list(F.when((v > t.low) & (v < t.high), v))).alias(f"mid{k}"),
+        ]
+    found = data.agg(*exprs).first() if exprs else None
+    for k, t in enumerate(targets):
+        below, at_low, middle, at_high = found[f"below{k}"], found[f"low{k}"], found[f"mid{k}"], found[f"high{k}"]
+
+        def value(rank: int) -> float:
+            place = rank - below
+            if place < 0 or place >= at_low + len(middle) + at_high:
                 raise ArithmeticError("quantile sketch missed its rank")
-            narrowed[(i, j)] = (i, j, pos, edges[k][0], edges[k][1], below2, rows2)
-        stuck = all(narrowed[(t[0], t[1])][6] == t[6] for t in wide)
-        todo = [narrowed.get((t[0], t[1]), t) for t in todo]
-        if stuck:
-            break
-    if todo:
-        exprs = []
-        for k, (i, j, pos, lo, hi, below, rows) in enumerate(todo):
-            share = min(max((pos - below) / max(rows - 1, 1), 0.0), 1.0)
-            exprs.append(F.percentile(_inside(i, lo, hi), share).alias(f"q{k}"))
-        found = data.agg(*exprs).first()
-        for k, (i, j, *_rest) in enumerate(todo):
-            result[names[i]][j] = found[k]
+            if place < at_low:
+                return t.low
+            return middle[place - at_low] if place < at_low + len(middle) else t.high
+
+        lower, upper = value(math.floor(t.rank)), value(math.ceil(t.rank))
+        result[names[t.column]][t.prob] = lower + (upper - lower) * (t.rank - math.floor(t.rank))
     return result
 
 
-def _inside(i: int, lo, hi) -> Column:
-    v = F.col(f"v{i}")
-    return v if lo is None else F.when(v.between(lo, hi), v)
+def _narrow(data: DataFrame, targets: list[_Target], slack: float, spread: float) -> None:
+    """Move low and high of every target closer to its rank by a sketch of the rows between them."""
+    exprs = []
+    for k, t in enumerate(targets):
+        v = F.col(f"v{t.column}")
+        exprs += [F.count_if(v <= t.low).alias(f"b{k}"), F.count_if((v > t.low) & (v < t.high)).alias(f"m{k}")]
+    counts = data.agg(*exprs).first()
+    inner, exprs = {}, []
+    for k, t in enumerate(targets):
+        rows = counts[f"m{k}"]
+        start, end = math.floor(t.rank) - counts[f"b{k}"], math.ceil(t.rank) - counts[f"b{k}"]
+        if rows and end >= 0 and start < rows:
+            inner[k] = (start, end, rows)
+            shares = [max(start / max(rows - 1, 1) - slack, 0.0), min(max(end / max(rows - 1, 1) + slack, 0.0), 1.0)]
+            v = F.col(f"v{t.column}")
+            accuracy = int(round(2.0 / slack))
+            exprs.append(F.percentile_approx(F.when((v > t.low) & (v < t.high), v), shares, accuracy).alias(f"e{k}"))
+    edges = data.agg(*exprs).first() if exprs else None
+    for k, t in enumerate(targets):
+        if k not in inner:
+            # the rank sits on low or on high itself
+            if math.ceil(t.rank) < counts[f"b{k}"]:
+                t.high = t.low
+            else:
+                t.low = t.high
+            t.between = 0
+            continue
+        start, end, rows = inner[k]
+        if start >= 0:
+            t.low = edges[f"e{k}"][0]
+        if end < rows:
+            t.high = edges[f"e{k}"][1]
+        t.between = rows * spread if start >= 0 and end < rows else rows * (slack * 2)
 
 
 def moments(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
@@ -115,8 +160,7 @@ def modes(df: DataFrame, names: list[str]) -> dict[str, object]:
     return found
 
 
-def grouped_quantile(df: DataFrame, keys: list[str], value: Column, prob: float,
-                     bracket_rows: int = BRACKET_ROWS) -> DataFrame:
+def grouped_quantile(df: DataFrame, keys: list[str], value: Column, prob: float) -> DataFrame:
     """Exact quantile per group: ``keys + q``.
 
     One sketch per group brackets the rank, then an exact percentile looks only

@@ -11,6 +11,7 @@ from ..core import action, as_list, chosen, col, is_numeric, is_temporal, numeri
 from ..functions.dates import as_timestamp
 from ..functions.numbers import to_number
 from ..functions.stats import moments, quantiles
+from ..plans.cut import cut
 from .ordered import over_rows, running
 from .profile import union_all
 from .rows import fences
@@ -254,7 +255,8 @@ def timeseries_anomalies(df: DataFrame, order_by, value_col: str, period: int |
     Trend and seasonal parts come from moving means, not from local regression.
     """
     period = period or infer_period(df, as_list(order_by)[0])
-    parts = decompose(df, order_by, value_col, period, partition_by, rows_per_bucket)
+    # read four times below, after three shuffles
+    parts = cut(decompose(df, order_by, value_col, period, partition_by, rows_per_bucket))
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
     std = moments(parts, {"r": F.col("residual")})["r"]["std"] or 1.0
     if q1 is None:
@@ -268,7 +270,7 @@ def timeseries_summary(df: DataFrame, order_by, value_col: str, period: int | No
                        rows_per_bucket: int | None = None) -> DataFrame:
     """One row: anomalies, their kind (level_shift, trending_anomaly, point_anomaly), severity, trend slope."""
     period = period or infer_period(df, as_list(order_by)[0])
-    parts = decompose(df, order_by, value_col, period, None, rows_per_bucket)
+    parts = cut(decompose(df, order_by, value_col, period, None, rows_per_bucket))
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
     low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     bad = (F.col("residual") < low) | (F.col("residual") > high)

@@ -75,12 +75,12 @@ def test_bins_and_labels(spark):
     assert found[0.0] == found[5.0] == "(-0.01, 5.0]" and found[10.0] == "(5.0, 10.0]"
 
 
-@pytest.mark.parametrize("limit", [10, 100, 10_000_000])
-def test_quantiles_equal_exact_percentiles(spark, limit):
+@pytest.mark.parametrize("limit, sketch", [(10, 20), (30, 50), (50_000, 10_000)])
+def test_quantiles_equal_exact_percentiles(spark, limit, sketch):
     df = spark.range(1000).selectExpr("double(id * 7919 % 1009) AS v", "IF(id % 3 = 0, 5.0D, double(id)) AS w")
     probs = [0.0, 0.05, 0.5, 0.731, 1.0]
     want = df.agg(F.percentile("v", probs), F.percentile("w", probs)).first()
-    got = stats.quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs, bracket_rows=limit)
+    got = stats.quantiles(df, {"v": F.col("v"), "w": F.col("w")}, probs, limit, sketch)
     for name, exact in zip("vw", want):
         assert got[name] == pytest.approx(exact)
 
