@@ -394,6 +394,7 @@ def remove_stopwords(df: DataFrame, column=None, language: str = "english") -> D
         F.filter(F.split(tx.squeeze(c), " "), lambda w: ~F.lower(w).isin(words)), " "))
 
 
+@action("detect_encoding")
 def detect_encoding(df: DataFrame, column: str) -> DataFrame:
     """Character profile of a text column: shares of ASCII, non-ASCII, broken and control text."""
     c = col(column)
