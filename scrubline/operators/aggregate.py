@@ -47,7 +47,7 @@ def group_by(df: DataFrame, group_columns, aggregations) -> DataFrame:
     return out.select(*[col(k) for k in keys], *[col(f"{c}_{a}") for c, a in pairs])
 
 
-@action("pivot_table")
+@action("pivot_table", "pivot")
 def pivot_table(df: DataFrame, index, columns: str, values, aggfunc: str = "sum",
                 categories=None, max_categories: int = 1000) -> DataFrame:
     """Columns ``<value>_<category>``, empty cells 0."""
@@ -69,7 +69,7 @@ def pivot_table(df: DataFrame, index, columns: str, values, aggfunc: str = "sum"
     return df.groupBy(*[col(i) for i in index]).agg(*cells)
 
 
-@action("unpivot", row_wise=True)
+@action("unpivot", "melt", row_wise=True)
 def unpivot(df: DataFrame, id_columns, value_columns=None, var_name: str = "variable",
             val_name: str = "value") -> DataFrame:
     """Long form without null values."""

@@ -43,7 +43,7 @@ def _tie_break(df: DataFrame, order_by) -> Column:
     return F.struct(*[col(c) for c in first + [c for c in df.columns if c not in first]])
 
 
-@action("remove_duplicates", "remove_exact_duplicates", "drop_duplicates")
+@action("remove_duplicates", "remove_exact_duplicates", "drop_duplicates", "filter_duplicates")
 def remove_duplicates(df: DataFrame, subset=None, keep: str | bool = "first", order_by=None) -> DataFrame:
     """Whole-row duplicates, or the first/last row per subset in ``order_by`` order.
 
