@@ -16,8 +16,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near a language's histograms; null texts have no words and go."""
-    judged = quality.judge(docs)
-    return judged.where(F.col(judged.columns[-1])).select(*(f"`{c}`" for c in docs.columns))
+    return quality.kept_documents(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,6 +132,18 @@ def judge(docs: DataFrame, refs: dict | None = None, text_col: str = "text", lan
                        names["class_distance"], names["word_distance"], (~failed & ~far).alias(names["kept"]))
 
 
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that ``judge`` keeps, with their own columns.
+
+    A filter on ``kept`` would be pushed below the counts and repeat them all, so
+    the verdict becomes the length of an array that is exploded.
+    """
+    judged = judge(docs, None, text_col, lang_col)
+    once = F.explode(F.when(F.col(f"`{judged.columns[-1]}`"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    mark = free_name(docs, "_q_once")
+    return judged.select(*(f"`{c}`" for c in docs.columns), once.alias(mark)).drop(mark)
+
+
 def document_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, counts, base_failed, distances, kept) for every row."""
     refs = references(docs, text_col, lang_col)
