@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
 from .common import free_name
 
 #: common words of the languages that have references (fixed values)
@@ -24,10 +25,11 @@ COMMON = {
 }
 WORDS = sorted({w for words in COMMON.values() for w in words})
 
-MIN_CHARS, MIN_WORDS = 200, 100
+MIN_CHARS, MIN_WORDS = 300, 120
 #: farthest a document may be from the nearest language, for either histogram
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.29
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_BASE_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 _PRIOR = 0.5
 
@@ -44,44 +46,63 @@ def _kept_chars(text: Column, kept: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
 
-def _blanks(text: Column) -> Column:
-    return _kept_chars(text, r"\x20\x09-\x0D")
-
-
-def _class_counts(text: Column, n_chars: Column, blanks: Column) -> Column:
-    """Lower case, upper case, other letters, digits, symbols, white space, rest."""
-    counted = [_kept_chars(text, kept) for kept in ("a-z", "A-Z", r"\p{L}&&[^a-zA-Z]", "0-9", "#*$%&|<>=_{}~^+/@\\\\\\[\\]")]
-    return F.array(*counted, blanks, n_chars - blanks - sum(counted[1:], counted[0]))
-
-
 def _common_counts(words: str) -> Column:
     """Counts of the common words, then of all other words."""
-    found = f"filter({words}, x -> lower(x) IN ({_WORD_SQL}))"
+    found = f"filter({words}, x -> length(x) <= {max(map(len, WORDS))} AND lower(x) IN ({_WORD_SQL}))"
     each = ", ".join(f"size(c) - size(array_remove(c, '{w}'))" for w in WORDS)
     return F.expr(f"transform(array(transform({found}, x -> lower(x))), c -> array({each}, size({words}) - size(c)))[0]")
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+def _measured(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns ``keep`` with the base counts and both histograms; names: what the new columns are called.
 
+    Each count is a column of its own before others are made of it, so that
+    nothing is counted twice.
+    """
+    names = {x: free_name(docs, x) for x in BASE} | {x: free_name(docs, f"_q_{x}") for x in ("text", "w", "h", "g", "n", "rest", "upper", "other", "digit", "sign", "classes", "common")}
+    own = [F.col(f"`{c}`") for c in keep]
+    c = {x: F.col(n) for x, n in names.items()}
+    rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(names["text"]))
+    lines = f"filter(split({names['text']}, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
+    rows = rows.select(
+        *own, F.array_remove(F.split(c["text"], r"[\x20\x09-\x0D]+"), "").alias(names["w"]), F.char_length(c["text"]).cast("long").alias(names["n"]),
+        F.regexp_replace(c["text"], r"[a-z\x20\x09-\x0D]+", "").alias(names["rest"]),
+        F.expr(f"transform(array({lines}), l -> size(l) - size(array_distinct(l)))[0]").cast("long").alias(names["n_dup_lines"]))
+    rows = rows.select(
+        *own, F.size(c["w"]).cast("long").alias(names["n_words"]), F.char_length(F.array_join(c["w"], "")).cast("long").alias(names["word_chars"]),
+        c["n"], c["n_dup_lines"], F.char_length(c["rest"]).cast("long").alias(names["rest"]), F.transform(c["w"], lambda x: F.xxhash64(x)).alias(names["h"]),
+        _common_counts(names["w"]).alias(names["common"]), _kept_chars(c["rest"], "#*$%&|<>").alias(names["n_symbols"]), _kept_chars(c["rest"], "A-Z").alias(names["upper"]),
+        _kept_chars(c["rest"], r"\p{L}&&[^A-Z]").alias(names["other"]), _kept_chars(c["rest"], "0-9").alias(names["digit"]), _kept_chars(c["rest"], "=_{}~^+/@").alias(names["sign"]))
+    h = names["h"]
+    grams = f"transform(sequence(0, size({h}) - {WINDOW}), i -> xxhash64({', '.join(f'{h}[i + {j}]' for j in range(WINDOW))}))"
+    sign = c["sign"] + c["n_symbols"]
+    # lower case, upper case, other letters, digits, signs, white space, rest
+    classes = F.array(c["word_chars"] - c["rest"], c["upper"], c["other"], c["digit"], sign, c["n"] - c["word_chars"], c["rest"] - c["upper"] - c["other"] - c["digit"] - sign)
+    rows = rows.select(
+        *own, *(c[x] for x in BASE if x != "n_repeat_words"), c["n"], c["common"], classes.alias(names["classes"]),
+        F.expr(f"CASE WHEN size({h}) < {WINDOW} THEN cast(array() AS array<bigint>) ELSE {grams} END").alias(names["g"]))
+    repeats = F.expr(_REPEATS.format(g=names["g"], w=WINDOW))
+    return rows.select(*own, *(repeats.alias(names[x]) if x == "n_repeat_words" else c[x] for x in BASE), c["n"], c["common"], c["classes"]), names
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Class and common-word shares of each language, summed over all its documents; at most one row for each language of ``COMMON``."""
-    text = F.col("text")
-    rows = docs.where(F.col(f"`{lang_col}`").isin(*COMMON) & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.select("lang", "text", _words(text).alias("w"), F.char_length(text).cast("long").alias("n"), _blanks(text).alias("b"))
-    rows = rows.select("lang", _class_counts(text, F.col("n"), F.col("b")).alias("classes"), _common_counts("w").alias("common"))
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
+
+def _summed(rows: DataFrame, names: dict[str, str], lang: str) -> dict[str, tuple[list[float], list[float]]]:
+    sums = [F.sum(F.col(names[kind])[i]).alias(f"{kind[1]}{i}") for kind, size in (("classes", 7), ("common", len(WORDS) + 1)) for i in range(size)]
     out = {}
-    for row in rows.groupBy("lang").agg(*sums).collect():
+    for row in rows.where(F.col(f"`{lang}`").isin(*COMMON)).groupBy(F.col(f"`{lang}`").alias("lang")).agg(*sums).collect():
         shares = []
-        for letter in "cw":
-            n = [row[c] + _PRIOR for c in row.asDict() if c[0] == letter and c[1:].isdigit()]
+        for kind, size in (("classes", 7), ("common", len(WORDS) + 1)):
+            n = [row[f"{kind[1]}{i}"] + _PRIOR for i in range(size)]
             shares.append([x / sum(n) for x in n])
         out[row["lang"]] = (shares[0], shares[1])
     return out
 
 
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """Class and common-word shares of each language, summed over all its documents; at most one row for each language of ``COMMON``."""
+    rows, names = _measured(docs.where(F.col(f"`{lang_col}`").isin(*COMMON)), [lang_col], text_col)
+    return _summed(rows, names, lang_col)
+
+
 def js_distance(counts: str, reference: list[float]) -> str:
     """SQL for the Jensen-Shannon distance of an array of counts from a distribution."""
     q = "array(" + ", ".join(f"{x!r}D" for x in reference) + ")"
@@ -103,33 +124,22 @@ def judge(docs: DataFrame, refs: dict | None = None, text_col: str = "text", lan
     empty result.
     """
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    hidden = {x: free_name(docs, f"_q_{x}") for x in ("text", "w", "n", "b", "g", "classes", "common")}
-    names = {x: free_name(docs, x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")}
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    text, w = F.col(hidden["text"]), hidden["w"]
-    rows = docs.select(*own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(hidden["text"]))
-    lines = f"filter(split({hidden['text']}, '\\n'), x -> x RLIKE '[^\\\\x20\\\\x09-\\\\x0D]')"
-    dup_lines = F.expr(f"transform(array({lines}), l -> size(l) - size(array_distinct(l)))[0]").cast("long")
-    rows = rows.select(
-        *own, text, _words(text).alias(w), F.char_length(text).cast("long").alias(hidden["n"]), _blanks(text).alias(hidden["b"]),
-        _kept_chars(text, "#*$%&|<>").alias(names["n_symbols"]), dup_lines.alias(names["n_dup_lines"]))
-    grams = F.expr(f"CASE WHEN size({w}) < {WINDOW} THEN cast(array() AS array<bigint>) ELSE transform(sequence(1, size({w}) - {WINDOW - 1}), i -> xxhash64(slice({w}, i, {WINDOW}))) END")
-    rows = rows.select(
-        *own, F.size(w).cast("long").alias(names["n_words"]), (F.col(hidden["n"]) - F.col(hidden["b"])).alias(names["word_chars"]), names["n_symbols"], names["n_dup_lines"], F.col(hidden["n"]),
-        grams.alias(hidden["g"]), _class_counts(text, F.col(hidden["n"]), F.col(hidden["b"])).alias(hidden["classes"]), _common_counts(w).alias(hidden["common"]))
+    rows, names = _measured(docs, docs.columns, text_col)
+    return _judged(rows, names, docs.columns, refs)
+
 
+def _judged(rows: DataFrame, names: dict[str, str], keep: list[str], refs: dict) -> DataFrame:
     def nearest(counts: str, which: int, enough: Column) -> Column:
         each = [F.expr(js_distance(counts, refs[lang][which])) for lang in sorted(refs)]
         return F.when(enough, F.array_min(F.array(*each))) if each else F.lit(None).cast("double")
 
-    n_words = F.col(names["n_words"])
-    rows = rows.select(
-        *own, *(names[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines")), F.expr(_REPEATS.format(g=hidden["g"], w=WINDOW)).alias(names["n_repeat_words"]),
-        nearest(hidden["classes"], 0, F.col(hidden["n"]) >= MIN_CHARS).alias(names["class_distance"]), nearest(hidden["common"], 1, n_words >= MIN_WORDS).alias(names["word_distance"]))
-    failed = (n_words < MIN_BASE_WORDS) | (100 * F.col(names["n_repeat_words"]) > REPEAT_PERCENT * n_words)
-    far = F.coalesce(F.col(names["class_distance"]) > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col(names["word_distance"]) > MAX_WORD_DISTANCE, F.lit(False))
-    return rows.select(*own, *(names[x] for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), failed.alias(names["base_failed"]),
-                       names["class_distance"], names["word_distance"], (~failed & ~far).alias(names["kept"]))
+    out = {x: free_name(rows, x) for x in ("base_failed", "class_distance", "word_distance", "kept")}
+    own = [F.col(f"`{x}`") for x in (*keep, *(names[b] for b in BASE))]
+    rows = rows.select(*own, nearest(names["classes"], 0, F.col(names["n"]) >= MIN_CHARS).alias(out["class_distance"]),
+                       nearest(names["common"], 1, F.col(names["n_words"]) >= MIN_WORDS).alias(out["word_distance"]))
+    failed = (F.col(names["n_words"]) < MIN_BASE_WORDS) | (100 * F.col(names["n_repeat_words"]) > REPEAT_PERCENT * F.col(names["n_words"]))
+    far = F.coalesce(F.col(out["class_distance"]) > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col(out["word_distance"]) > MAX_WORD_DISTANCE, F.lit(False))
+    return rows.select(*own, failed.alias(out["base_failed"]), out["class_distance"], out["word_distance"], (~failed & ~far).alias(out["kept"]))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -145,7 +155,12 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def document_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, counts, base_failed, distances, kept) for every row."""
-    refs = references(docs, text_col, lang_col)
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return judge(narrow, refs).drop("text").withColumnRenamed("id", id_col)
+    """(id, counts, base_failed, distances, kept) for every row.
+
+    Texts are read once: their counts are cut to a table, which gives the
+    references and then the verdicts.
+    """
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows, names = _measured(narrow, ["id", "lang"], "text")
+    rows = cut(rows)
+    return _judged(rows, names, ["id", "lang"], _summed(rows, names, "lang")).drop("lang").withColumnRenamed("id", id_col)
