@@ -168,7 +168,7 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
                 known, table = {}, np.zeros((0, len(langs)))
             pred, score = [], []
             for first in range(0, len(texts), 1000):
-                cut = [_cut(t.split()) if any(map(str.isalpha, t)) else [] for t in texts[first:first + 1000]]
+                cut = [_cut(t.split()) if langs and any(map(str.isalpha, t)) else [] for t in texts[first:first + 1000]]
                 new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
                 for at in range(0, len(new), 20_000):
                     part = new[at:at + 20_000]
@@ -177,7 +177,7 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
                         known[w] = len(known)
                     table = np.concatenate([table, np.log(lattice.forward(p[lattice.ids])[lattice.last])])
                 for words in cut:
-                    if not words or not langs:
+                    if not words:
                         pred.append("und")
                         score.append(0.0)
                         continue

@@ -38,8 +38,8 @@ def scaled(vector, scale: int = 64):
     return F.when(good, F.transform(whole, lambda x: F.floor(x * scale)))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), np.int64).reshape(len(column), -1)
+def _matrix(rows: list, dim: int, kind=np.int64) -> np.ndarray:
+    return np.array(rows, kind).reshape(len(rows), dim)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -107,8 +107,9 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, c, s = [], [], []
         if len(left) and len(right):
-            at = np.array([p for dim, p in pivots.value if dim == key[0]], np.float64).reshape(-1, key[0])
-            q, c, s = block_topk(left["id"].to_numpy(np.int64), _matrix(left["v"]), right["id"].to_numpy(np.int64), _matrix(right["v"]), at, k)
+            dim = int(key[0])
+            at = _matrix([p for size, p in pivots.value if size == dim], dim, np.float64)
+            q, c, s = block_topk(left["id"].to_numpy(np.int64), _matrix(left["v"].tolist(), dim), right["id"].to_numpy(np.int64), _matrix(right["v"].tolist(), dim), at, k)
         return pd.DataFrame({"query_id": pd.Series(q, dtype="int64"), "id": pd.Series(c, dtype="int64"), "score": pd.Series(s, dtype="int64")})
 
     keys = ("dim", "qb", "cb")
