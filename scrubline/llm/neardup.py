@@ -12,17 +12,21 @@ probability 5e-6 and by the estimate (cut at 0.58, five deviations below) with
 1e-7; more alike pairs less often.
 
 Documents of equal word sequences are one node from the start.  A bucket isn't
-expanded into its pairs: first each document is compared with one document, the
-best by estimate among the most central ones of its buckets, which joins most of
-a group of near copies.  Then the pairs of a bucket whose documents are still in
-different components are estimated inside a join, which gives out only those that
-pass, and these are compared in full, so no link is lost.  Joins are plain ones
-by bucket or document that Spark splits when a key is hot.
+expanded into its pairs: twice, each document is compared with one document of
+another component, the best by estimate among the most central ones of its
+buckets, which joins most of a group of near copies.  What is left are documents
+whose buckets still hold different components.  They get a longer signature of
+1024 minima, whose estimate tells a link from a pair that merely shares a passage
+(cut at 0.67, again five deviations).  A join by bucket estimates their pairs and
+gives out only those that pass, each one in the first bucket that it shares; these
+are compared in full, so no link between candidates is lost.  Joins are plain ones
+that Spark splits when a key is hot.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +40,17 @@ from .graphs import components
 
 SHINGLE = 5
 MINIMA, BANDS, BAND_ROWS = 256, 45, 5
-LONGS = MINIMA * 2 // 64
-#: estimates below it are at least five deviations below the threshold
-LEAST_ESTIMATE = 0.58
+#: minima of the longer signature
+LONG_MINIMA = 1024
+#: rounds of one comparison each before the exact rest
+PIVOT_ROUNDS = 2
 #: bits of the filter that spares the sets of documents without candidates (8 MB at any input size)
 FILTER_BITS = 1 << 26
 _BITMAP = 1 << 15
 
 _rng = np.random.default_rng(20240229)
-_TIMES = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32) | np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)
+_TIMES = _rng.integers(0, 1 << 32, LONG_MINIMA, dtype=np.uint32) | np.uint32(1)
+_PLUS = _rng.integers(0, 1 << 32, LONG_MINIMA, dtype=np.uint32)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -70,17 +75,29 @@ def shingle_set(text: str) -> tuple[np.ndarray, bytes]:
     return np.unique(total), key
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The 256 minima of a set that isn't empty."""
+def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    """The first minima of a set that isn't empty."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(MINIMA, np.uint32(0xFFFFFFFF))
+    least = np.full(count, np.uint32(0xFFFFFFFF))
     for at in range(0, len(x), 1024):
-        values = np.multiply.outer(_TIMES, x[at:at + 1024])
-        values += _PLUS[:, None]
+        values = np.multiply.outer(_TIMES[:count], x[at:at + 1024])
+        values += _PLUS[:count, None]
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
 
+def _packed(least: np.ndarray) -> dict[str, pa.Array]:
+    """Two bits of each minimum, 32 of them in a long: columns s0, s1, ..."""
+    rows, count = least.shape
+    low = ((least.astype(np.uint64) * _MIX) >> np.uint64(62)).reshape(rows, count // 32, 32)
+    packed = (low << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    return {f"s{i}": pa.array(np.ascontiguousarray(packed[:, i]).view(np.int64)) for i in range(count // 32)}
+
+
+def _columns(count: int) -> list[str]:
+    return [f"s{i}" for i in range(count // 32)]
+
+
 def _signatures(batches):
     numbers = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
@@ -97,31 +114,38 @@ def _signatures(batches):
         for j in range(BAND_ROWS):
             bands = bands * _FOLD + least[:, j:BANDS * BAND_ROWS:BAND_ROWS]
             bands ^= bands >> np.uint64(31)
-        low = ((least.astype(np.uint64) * _MIX) >> np.uint64(62)).reshape(len(texts), LONGS, 32)
-        packed = (low << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS)
-        out = {"id": batch.column(0), "key": keys, "n": pa.array(sizes), "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64)))}
-        for i in range(LONGS):
-            out[f"s{i}"] = pa.array(np.ascontiguousarray(packed[:, i]).view(np.int64))
-        yield out
+        yield {"id": batch.column(0), "key": keys, "n": pa.array(sizes), "bands": pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1).view(np.int64))), **_packed(least)}
 
 
-SIGNATURE = [f"s{i}" for i in range(LONGS)]
+def _long_signatures(batches):
+    """(id, shingles) -> id and the longer signature."""
+    for whole in batches:
+        for first in range(0, whole.num_rows, 512):
+            batch = whole.slice(first, 512)
+            least = np.array([minima(np.frombuffer(x, np.uint64), LONG_MINIMA) for x in batch.column(1).to_pylist()]).reshape(-1, LONG_MINIMA)
+            yield {"id": batch.column(0), **_packed(least)}
 
 
-def estimate(left: str, right: str) -> Column:
+def estimate(left: str, right: str, count: int = MINIMA) -> Column:
     """Similarity of two packed signatures (column prefixes), corrected for chance equality of two bits."""
     differ = F.lit(0)
-    for name in SIGNATURE:
+    for name in _columns(count):
         x = F.col(f"{left}{name}").bitwiseXOR(F.col(f"{right}{name}"))
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return ((1 - differ / MINIMA) - 0.25) / 0.75
+    return ((1 - differ / count) - 0.25) / 0.75
 
 
-def _may_link(left: str, right: str, percent: int) -> Column:
+def least_estimate(percent: int, count: int) -> float:
+    """Five deviations below the threshold's own estimate."""
+    p = 0.25 + 0.75 * percent / 100
+    return percent / 100 - 5 * math.sqrt(p * (1 - p) / count) / 0.75
+
+
+def _may_link(left: str, right: str, percent: int, count: int = MINIMA) -> Column:
     """What both the sizes and the estimate allow."""
     a, b = F.col(f"{left}n"), F.col(f"{right}n")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(left, right) >= LEAST_ESTIMATE - (0.75 - percent / 100))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(left, right, count) >= least_estimate(percent, count))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -186,6 +210,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(with_sets.select("a", "b", "a_shingles", "b_shingles"), _linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
+def _estimated(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b) pairs with both signatures."""
+    return pairs.join(_prefixed(signed, "a_"), F.col("a") == F.col("a_id")).join(_prefixed(signed, "b_"), F.col("b") == F.col("b_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row; percent: least similarity of a link.
 
@@ -204,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(docs, text_col).alias("text"))
     rows = cut(map_batches(narrow, _signatures, T.StructType([
         T.StructField("id", kind), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        *(T.StructField(s, T.LongType()) for s in SIGNATURE)])))
+        *(T.StructField(s, T.LongType()) for s in _columns(MINIMA))])))
 
     # equal word sequences: one node, named by its smallest id
     named = rows.where("n > 0 AND id IS NOT NULL")
@@ -213,25 +242,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = node.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     many = cut(buckets.join(shared, "bucket"))
-    signed = cut(named.select("id", "n", *SIGNATURE).join(many.select("id").distinct(), "id", "left_semi"))
+    signed = cut(named.select("id", "n", *_columns(MINIMA)).join(many.select("id").distinct(), "id", "left_semi"))
 
-    # one comparison each: with the best of the most central documents of its buckets
+    # one comparison each: with the best, in another component, of the most central documents of its buckets
     central = many.groupBy("id").agg(F.sum("many").alias("weight"))
-    pivots = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("top")).select("bucket", F.col("top.id").alias("b"))
-    first = many.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    first = first.join(_prefixed(signed, "a_"), F.col("a") == F.col("a_id")).join(_prefixed(signed, "b_"), F.col("b") == F.col("b_id"))
-    first = first.where(_may_link("a_", "b_", percent)).groupBy("a").agg(F.max_by("b", F.struct(estimate("a_", "b_"), "b")).alias("b"))
+    pivots = cut(many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("top")).select("bucket", F.col("top.id").alias("b")))
     sets = cut(shingle_sets(narrow, many.select("id").distinct()))
-    links = cut(confirmed(first, sets, percent))
-    joined = components(links)
-
-    # pairs of a bucket that are not in one component yet
-    held = many.join(joined, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    open_buckets = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = held.join(open_buckets, "bucket", "left_semi").join(signed, "id")
-    left, right = _prefixed(left, "a_"), _prefixed(left, "b_")
-    second = left.join(right, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-                       & _may_link("a_", "b_", percent)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
+    links = held = joined = None
+    for _ in range(PIVOT_ROUNDS):
+        if joined is None:
+            first = many.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        else:
+            there = pivots.join(joined, F.col("b") == F.col("node"), "left").select("bucket", "b", F.coalesce("component", "b").alias("other"))
+            first = held.join(there, "bucket").where("component <> other").select(F.col("id").alias("a"), "b").distinct()
+        first = _estimated(first, signed).where(_may_link("a_", "b_", percent)).groupBy("a").agg(F.max_by("b", F.struct(estimate("a_", "b_"), "b")).alias("b"))
+        more = cut(confirmed(first, sets, percent))
+        links = more if links is None else links.unionByName(more)
+        joined = components(links)
+        held = many.join(joined, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+
+    # the rest: documents whose buckets hold several components
+    mixed = held.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = cut(held.join(mixed, "bucket", "left_semi"))
+    ids = left.select("id").distinct()
+    longer = map_batches(sets.join(ids, "id", "left_semi"), _long_signatures, T.StructType([
+        T.StructField("id", kind), *(T.StructField(s, T.LongType()) for s in _columns(LONG_MINIMA))]))
+    known = node.select("id", "n", "bands").join(ids, "id", "left_semi").join(longer, "id")
+    here = left.join(known, "id")
+    before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    here = here.select("bucket", "id", "component", "n", before.alias("before"), *_columns(LONG_MINIMA))
+    second = _prefixed(here, "a_").join(_prefixed(here, "b_"), (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
+                                        & _may_link("a_", "b_", percent, LONG_MINIMA) & ~F.arrays_overlap("a_before", "b_before"))
+    second = second.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     joined = components(links.unionByName(confirmed(second, sets, percent)))
 
     of_node = nodes.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", F.coalesce("component", "node").alias("c"))

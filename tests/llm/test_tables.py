@@ -84,8 +84,8 @@ def test_estimate_is_close_to_the_similarity(spark):
     a = [str(rng.random()) for _ in range(2000)]
     rows = [(k, " ".join(a[:2000 - 100 * k] + [str(rng.random()) for _ in range(100 * k)])) for k in range(6)]
     batch = next(neardup._signatures([__import__("pyarrow").record_batch({"id": [r[0] for r in rows], "text": [r[1] for r in rows]})]))
-    data = [tuple(int(batch[s][k]) for s in neardup.SIGNATURE) for k in range(6)]
-    df = spark.createDataFrame([(k, *x, *data[0]) for k, x in enumerate(data)], "k int, " + ", ".join([f"a_{s} long" for s in neardup.SIGNATURE] + [f"b_{s} long" for s in neardup.SIGNATURE]))
+    data = [tuple(int(batch[s][k]) for s in neardup._columns(neardup.MINIMA)) for k in range(6)]
+    df = spark.createDataFrame([(k, *x, *data[0]) for k, x in enumerate(data)], "k int, " + ", ".join([f"a_{s} long" for s in neardup._columns(neardup.MINIMA)] + [f"b_{s} long" for s in neardup._columns(neardup.MINIMA)]))
     for r in df.select("k", neardup.estimate("a_", "b_").alias("e")).collect():
         s, t = shingles(rows[0][1]), shingles(rows[r["k"]][1])
         assert abs(r["e"] - len(s & t) / len(s | t)) < 0.13
