@@ -16,6 +16,7 @@ result doesn't depend on how rows are dealt.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,30 +44,50 @@ def _cut(words: list[str]) -> list[str]:
     return out
 
 
+_NUMBERED: dict = {}
+
+
+def _numbered(pieces: Pieces):
+    """The automaton with bare piece numbers, and each piece's length."""
+    if id(pieces) not in _NUMBERED:
+        import ahocorasick
+
+        automaton, length_of = ahocorasick.Automaton(), np.zeros(pieces.size, np.int64)
+        for piece, (i, size, _) in pieces.automaton.items():
+            automaton.add_word(piece, i)
+            length_of[i] = size
+        automaton.make_automaton()
+        _NUMBERED[id(pieces)] = automaton, length_of
+    return _NUMBERED[id(pieces)]
+
+
 class Lattices:
     """Edges of the segmentation lattices of many words, sorted for level-by-level sums."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        starts, ends, ids, levels, offsets, offset = [], [], [], [], [], 0
-        singles, find = pieces.singles, pieces.automaton.iter
-        for w in words:
-            offsets.append(offset)
-            edges = [(end + 1 - value[1], end + 1, value[0]) for end, value in find(w)]
-            if not singles.issuperset(w):
-                edges += [(i, i + 1, pieces.size) for i, c in enumerate(w) if c not in singles]
-                edges.sort(key=lambda e: e[1])
-            for a, b, p in edges:
-                starts.append(offset + a)
-                ends.append(offset + b)
-                ids.append(p)
-                levels.append(b)
-            offset += len(w) + 1
-        self.nodes = offset
-        self.first = np.array(offsets, np.int64)
-        self.last = self.first + np.array([len(w) for w in words], np.int64)
-        order = np.argsort(np.array(levels, np.int64), kind="stable")
-        self.starts, self.ends, self.ids = (np.array(x, np.int64)[order] for x in (starts, ends, ids))
-        self.steps = np.flatnonzero(np.diff(np.array(levels, np.int64)[order], prepend=-1)).tolist() + [len(order)]
+        """Words hold no white space, so one pass of the automaton over all of them, line by line, finds every edge.
+
+        A node is a place in that text; a word's last node is its line's end.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.last = np.cumsum(sizes + 1) - 1
+        self.first = self.last - sizes
+        self.nodes = int(self.last[-1]) + 1
+        automaton, length_of = _numbered(pieces)
+        found = np.fromiter(chain.from_iterable(automaton.iter("\n".join(words))), np.int64).reshape(-1, 2)
+        ends, ids = found[:, 0] + 1, found[:, 1]
+        lengths = length_of[ids]
+        alone = np.ones(self.nodes, bool)
+        alone[self.last] = False
+        alone[ends[lengths == 1] - 1] = False
+        unknown = np.flatnonzero(alone)
+        starts = np.concatenate([ends - lengths, unknown])
+        ends, ids = np.concatenate([ends, unknown + 1]), np.concatenate([ids, np.full(len(unknown), pieces.size)])
+        self.owner_of = np.repeat(np.arange(len(words)), sizes + 1)
+        levels = ends - self.first[self.owner_of[ends]]
+        order = np.lexsort((ends, levels))
+        self.starts, self.ends, self.ids = starts[order], ends[order], ids[order]
+        self.steps = np.flatnonzero(np.diff(levels[order], prepend=-1)).tolist() + [len(order)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """p: (edges, ...) probabilities; sums over all ways to each node."""
@@ -124,7 +145,7 @@ def _expected(model, probabilities, langs: list[str]):
             if not words:
                 continue
             lattice = Lattices(pieces, words)
-            owner = np.searchsorted(lattice.first, lattice.starts, side="right") - 1
+            owner = lattice.owner_of[lattice.starts]
             lang, n = np.array(lang)[owner], np.array(n, np.float64)
             each = p[lang, lattice.ids]
             alpha, beta = lattice.forward(each), lattice.backward(each)
