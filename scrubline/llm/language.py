@@ -85,7 +85,7 @@ class Lattices:
         ends, ids = np.concatenate([ends, unknown + 1]), np.concatenate([ids, np.full(len(unknown), pieces.size)])
         self.owner_of = np.repeat(np.arange(len(words)), sizes + 1)
         levels = ends - self.first[self.owner_of[ends]]
-        order = np.lexsort((ends, levels))
+        order = np.argsort(levels * self.nodes + ends, kind="stable")
         self.starts, self.ends, self.ids = starts[order], ends[order], ids[order]
         self.steps = np.flatnonzero(np.diff(levels[order], prepend=-1)).tolist() + [len(order)]
 
