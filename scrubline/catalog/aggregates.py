@@ -86,6 +86,11 @@ def sql_query(t):
     return aggregate.sql_query(t.orders, SQL_TEXT, {"customer": t.customer, "nation": t.nation})
 
 
+@query("sql_query_full", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 0")
+def sql_query_full(t):
+    return aggregate.sql_query(t.lineitem, "SELECT l_orderkey, l_linenumber FROM df WHERE l_quantity > 0")
+
+
 @query("sql_set_operations", """
 SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'
 EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'FURNITURE'""")

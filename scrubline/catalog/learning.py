@@ -9,7 +9,7 @@ from ..plans import learning, programs
 from .base import query
 from .missing import rounded
 
-NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "labels"]
+NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def cells(t):
@@ -26,6 +26,9 @@ COLUMNS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "labels": ["doc_id", "quality", "toxic"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"], "conversations": ["conv_id", "turn", "role", "text"],
 }
 
 
@@ -49,11 +52,11 @@ def match_rules(t):
 
 
 STEP_SQL = """SELECT CASE WHEN user_id % 2 = 0 THEN 'sales' ELSE 'hr' END AS domain, event_type AS action, CASE event_id % 4 WHEN 0 THEN 'Unit Price' WHEN 1 THEN 'email' WHEN 2 THEN 'other' ELSE '' END AS "column",
- event_id % 5 AS cells_affected FROM events WHERE event_id % 4 <> 2 OR user_id = 3"""
+ event_id % 5 AS cells_affected FROM events"""
 
 
 def step_log(t):
-    return t.events.where("event_id % 4 <> 2 OR user_id = 3").selectExpr(
+    return t.events.selectExpr(
         "CASE WHEN user_id % 2 = 0 THEN 'sales' ELSE 'hr' END AS domain", "event_type AS action",
         "CASE event_id % 4 WHEN 0 THEN 'Unit Price' WHEN 1 THEN 'email' WHEN 2 THEN 'other' ELSE '' END AS column", "event_id % 5 AS cells_affected")
 

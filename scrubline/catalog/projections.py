@@ -105,6 +105,15 @@ def cast_type(t):
     return df
 
 
+@query("cast_type_bigint", """
+SELECT o_orderkey, 9007199254740993 + o_orderkey AS from_text, 9007199254740993 + o_orderkey AS from_long, CAST(o_orderkey AS BIGINT) AS from_fraction FROM orders""")
+def cast_type_bigint(t):
+    df = t.orders.selectExpr("o_orderkey", "cast(9007199254740993 + o_orderkey AS string) AS from_text", "9007199254740993 + o_orderkey AS from_long", "o_orderkey || '.0' AS from_fraction")
+    for name in ("from_text", "from_long", "from_fraction"):
+        df = schema.cast_type(df, name, "int")
+    return df
+
+
 @query("apply_schema_suggestions", f"""
 WITH s AS ({DIRTY_CAST})
 SELECT o_orderkey, TRY_CAST(trim(n) AS DOUBLE) AS n,

@@ -25,6 +25,15 @@ def add_rank(t):
     return df.drop("l_quantity")
 
 
+@query("add_rank_bigint", """
+WITH s AS (SELECT l_orderkey, l_linenumber, 9007199254740992 + l_quantity::BIGINT AS big, l_shipdate::VARCHAR AS day FROM lineitem)
+SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY big DESC) AS r_big, rank() OVER (ORDER BY day DESC) AS r_day FROM s""")
+def add_rank_bigint(t):
+    df = t.lineitem.selectExpr("l_orderkey", "l_linenumber", "9007199254740992 + cast(l_quantity AS bigint) AS big", "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') AS day")
+    df = windows.add_rank(df, "big", "min", "r_big", rows_per_bucket=20)
+    return windows.add_rank(df, "day", "min", "r_day", rows_per_bucket=200).drop("big", "day")
+
+
 @query("add_rank_first", """
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events""")
 def add_rank_first(t):
@@ -80,6 +89,15 @@ def cumulative_sum(t):
     return rounded(windows.cumulative_sum(df, "value", "total", order_by=ORDER, rows_per_bucket=900), "total", digits=2).drop("ts", "value")
 
 
+@query("cumulative_stats_std", """
+SELECT event_id, round(stddev_samp(value) OVER w, 6) AS value_cum_std, round(var_samp(value) OVER w, 6) AS value_cum_var FROM events
+WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def cumulative_stats_std(t):
+    df = events(t).withColumn("g", F.col("user_id") % 3)
+    out = windows.cumulative_stats(df, "value", ["std", "var"], partition_by="g", order_by=ORDER, rows_per_bucket=1200)
+    return rounded(rounded(out, "value_cum_std", digits=6), "value_cum_var", digits=6).select("event_id", "value_cum_std", "value_cum_var")
+
+
 @query("cumulative_stats", """
 SELECT event_id, round(sum(value) OVER w, 2) AS value_cum_sum, max(value) OVER w AS value_cum_max, min(value) OVER w AS value_cum_min,
   round(avg(value) OVER w, 7) AS value_cum_mean FROM events WINDOW w AS (PARTITION BY user_id % 3 ORDER BY ts, event_id)""")

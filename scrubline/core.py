@@ -8,6 +8,7 @@ on a stream.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -68,6 +69,15 @@ def is_temporal(df: DataFrame, name: str) -> bool:
     )
 
 
+_PLAIN_WORD = re.compile(r"[A-Za-z0-9]+")
+_CASED_WORD = re.compile(r"[A-Z]+(?![a-z])[0-9]*|[A-Z]?[a-z0-9]+|[0-9]+")
+
+
+def name_words(name: str, by_case: bool = False) -> list[str]:
+    """Lower-case words of a column name: runs of letters and digits, and with ``by_case`` also the humps of a run."""
+    return [w.lower() for w in (_CASED_WORD if by_case else _PLAIN_WORD).findall(name)]
+
+
 def as_list(names) -> list[str]:
     if names is None:
         return []

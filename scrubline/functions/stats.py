@@ -41,7 +41,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
     Returns name -> list of values in the order of ``probs`` (None when empty).
     """
     names = list(columns)
-    data = df.select(*[columns[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    numbers = [columns[n].cast("double") for n in names]
+    data = df.select(*[F.when(~F.isnan(v), v).alias(f"v{i}") for i, v in enumerate(numbers)])
     slack = 2.0 / sketch
     spread = 6.0 / sketch
     fractions = [f for p in probs for f in (max(p - slack, 0.0), min(p + slack, 1.0))]
@@ -88,7 +89,8 @@ def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float],
             return middle[place - at_low] if place < at_low + len(middle) else t.high
 
         lower, upper = value(math.floor(t.rank)), value(math.ceil(t.rank))
-        result[names[t.column]][t.prob] = lower + (upper - lower) * (t.rank - math.floor(t.rank))
+        # equal neighbours, infinite ones too, have nothing between them
+        result[names[t.column]][t.prob] = lower if lower == upper else lower + (upper - lower) * (t.rank - math.floor(t.rank))
     return result
 
 

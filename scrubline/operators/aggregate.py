@@ -141,15 +141,10 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return out.select("column", "missing", (F.try_divide("missing", "rows") * 100).alias("missing_pct"))
 
 
-# --- fixed values ------------------------------------------------------------
-SQL_ROW_CAP = 100_000
-# --- end of fixed values -----------------------------------------------------
-
-
 @action("sql_apply")
 def sql_query(df: DataFrame | None = None, query: str = "", tables: dict[str, DataFrame] | None = None,
-              max_rows: int | None = SQL_ROW_CAP) -> DataFrame:
-    """Read-only SELECT, WITH or EXPLAIN over view ``df`` and any named tables."""
+              max_rows: int | None = None) -> DataFrame:
+    """Read-only SELECT, WITH or EXPLAIN over view ``df`` and any named tables; all rows unless ``max_rows`` is given."""
     text = query.strip().rstrip(";").strip()
     bare = re.sub(r"'(?:[^']|'')*'|`[^`]*`|\"[^\"]*\"", " ", text)
     if ";" in bare or not re.match(r"(?is)(select|with|explain)\b", bare):

@@ -139,9 +139,14 @@ def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, t
     sample = min(sample, count)
     # on average 1.3 * sample rows per tree are drawn, then cut to sample
     rate = min(trees * sample * 1.3 / count, float(trees))
-    picked = values.withColumn("_n", (F.floor(F.lit(rate)) + (F.rand(seed) < rate - int(rate)).cast("long"))).where("_n > 0")
+
+    def drawn_at(number):
+        """A draw from [0, 1) by the row's values, so that it doesn't depend on how rows are dealt."""
+        return F.pmod(F.xxhash64(*[col(c) for c in names], F.lit(seed), F.lit(number)), F.lit(1 << 53)) / float(1 << 53)
+
+    picked = values.withColumn("_n", (F.floor(F.lit(rate)) + (drawn_at(0) < rate - int(rate)).cast("long"))).where("_n > 0")
     drawn = picked.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn(
-        "_h", F.xxhash64(*[col(c) for c in names], F.lit(seed), F.col("_d"), F.rand(seed + 1))).withColumn(
+        "_h", F.xxhash64(*[col(c) for c in names], F.lit(seed), F.col("_d"))).withColumn(
         "_tree", F.pmod("_h", F.lit(trees)).cast("int"))
     ranked = drawn.withColumn("_r", F.row_number().over(W.partitionBy("_tree").orderBy("_h"))).where(F.col("_r") <= sample)
     depth = max(1, (sample - 1).bit_length())

@@ -1,12 +1,10 @@
-"""Column lineage as two tables, walked by recursive queries."""
+"""Column lineage as two tables, walked level by level."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .aggregate import sql_query
-
 NODES = "node_id string, step int, action string, column string"
 EDGES = "source string, target string, action string, step int"
 
@@ -33,15 +31,10 @@ def record_lineage(spark: SparkSession, steps: list[dict], root_columns: list[st
 
 
 def _walk(edges: DataFrame, start: str, forward: bool) -> DataFrame:
-    ahead, back = ("target", "source") if forward else ("source", "target")
-    begin = start.replace("'", "''")
-    return sql_query(edges.select("source", "target"), f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT '{begin}', 0
-          UNION ALL
-          SELECT e.{ahead}, w.depth + 1 FROM walk w JOIN df e ON e.{back} = w.node
-        )
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node""", max_rows=None)
+    if not forward:
+        edges = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    begin = edges.sparkSession.createDataFrame([(start,)], "node string")
+    return reachable(edges, begin).select("node", "depth")
 
 
 def column_lineage(edges: DataFrame, node: str) -> DataFrame:
@@ -55,7 +48,7 @@ def impact_analysis(edges: DataFrame, node: str) -> DataFrame:
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(start, node, depth)`` for many starts at once on an acyclic edge table.
+    """``(start, node, depth)`` for many starts at once; the edges may form cycles.
 
     Level by level: each step joins only the newest nodes, drops those already
     seen, and is cut so the plan stays short.

@@ -27,8 +27,9 @@ def train_model(df: DataFrame, target: str | None = None, trees: int = 100, test
                 keys=None, max_bins_limit: int = 10_000) -> dict:
     """Fit a forest and evaluate it on held-out rows.
 
-    Returns ``model``, ``problem``, ``metrics`` and ``importance`` (a DataFrame
-    of the 15 most important features).  Text features are index-encoded.
+    Returns ``model``, ``problem``, ``metrics``, ``importance`` (a DataFrame of
+    the 15 most important features) and ``skipped`` (feature -> why it was left
+    out).  Text features are index-encoded.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
@@ -45,9 +46,11 @@ def train_model(df: DataFrame, target: str | None = None, trees: int = 100, test
                      *[F.count(col(c)).alias(f"f{i}") for i, c in enumerate(names)],
                      *[F.approx_count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
     regression = is_numeric(df, target) and stats["_t"] > 10
-    names = [c for i, c in enumerate(names) if stats[f"f{i}"] > 0.5 * stats["_n"]]
-    distinct = {c: stats[f"d{i}"] for i, c in enumerate(n for n in df.columns if n in names)}
-    texts = [c for c in names if not is_numeric(df, c) and distinct.get(c, 0) <= max_bins_limit]
+    skipped = {c: "half of its values or more are null" for i, c in enumerate(names) if stats[f"f{i}"] <= 0.5 * stats["_n"]}
+    skipped |= {c: f"text with over {max_bins_limit} values" for i, c in enumerate(names) if c not in skipped and not is_numeric(df, c) and stats[f"d{i}"] > max_bins_limit}
+    distinct = {c: stats[f"d{i}"] for i, c in enumerate(names)}
+    names = [c for c in names if c not in skipped]
+    texts = [c for c in names if not is_numeric(df, c)]
     numbers = [c for c in names if is_numeric(df, c)]
     data = data.select(col(target), *[col(c).cast("string").alias(c) for c in texts], *[col(c).cast("double").alias(c) for c in numbers])
     stages = []
@@ -78,4 +81,4 @@ def train_model(df: DataFrame, target: str | None = None, trees: int = 100, test
     rows = sorted(zip(texts + numbers, map(float, weights)), key=lambda x: (-x[1], x[0]))[:15]
     importance = df.sparkSession.createDataFrame(rows, "feature string, importance double")
     return {"model": model, "problem": "regression" if regression else "classification", "target": target,
-            "metrics": metrics, "importance": importance}
+            "metrics": metrics, "importance": importance, "skipped": skipped}

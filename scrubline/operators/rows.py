@@ -148,18 +148,19 @@ def sample_stratified(df: DataFrame, column: str, n: int = 1, seed: int = 42, ke
     return _first_per_stratum(df, column, lambda d: d.withColumn("_take", F.lit(n)), seed, keys)
 
 
-def smart_sample(df: DataFrame, n: int, stratify_col: str | None = None, seed: int = 42, keys=None) -> DataFrame:
-    """Proportional sample max(1, n * share) per stratum below 100 strata, else a plain one."""
+def smart_sample(df: DataFrame, n: int, stratify_col: str | None = None, seed: int = 42, keys=None,
+                 max_strata: int | None = None) -> DataFrame:
+    """Proportional sample, max(1, n * share) of each stratum; a plain one without strata, or with over ``max_strata`` of them if that is given."""
     total = df.count()
     if total <= n:
         return df
     if stratify_col in df.columns:
         strata = df.groupBy(col(stratify_col).alias("_s")).agg(F.count("*").alias("_c"))
-        if strata.count() < 100:
+        if max_strata is None or strata.count() <= max_strata:
             take = strata.withColumn("_take", F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("_c") / F.lit(total))))
 
             def limits(d):
-                return d.join(F.broadcast(take), col(stratify_col).eqNullSafe(F.col("_s"))).drop("_s", "_c")
+                return d.join(take, col(stratify_col).eqNullSafe(F.col("_s"))).drop("_s", "_c")
 
             return _first_per_stratum(df, stratify_col, limits, seed, keys)
     return sample_random(df, n=n, seed=seed, keys=keys)

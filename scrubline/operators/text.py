@@ -458,18 +458,16 @@ def validate_json(df: DataFrame, column: str, flag_col: str | None = None) -> Da
 
 
 @action("flatten_json")
-def flatten_json(df: DataFrame, column: str, target: str | None = None, max_keys: int = 10) -> DataFrame:
-    """Top-level keys as text columns ``<target>_<key>``.
+def flatten_json(df: DataFrame, column: str, target: str | None = None, max_keys: int | None = None) -> DataFrame:
+    """Top-level keys as text columns ``<target>_<key>``, all of them unless ``max_keys`` is given.
 
     The keys are counted over the whole column, so the choice of the
     ``max_keys`` most frequent ones does not depend on row order.
     """
     target = target or column
     parsed = F.from_json(col(column), T.MapType(T.StringType(), T.StringType()))
-    keys = [
-        r.k for r in df.select(F.explode(F.map_keys(parsed)).alias("k")).groupBy("k").count()
-        .orderBy(F.desc("count"), "k").limit(max_keys).collect()
-    ]
+    found = df.select(F.explode(F.map_keys(parsed)).alias("k")).groupBy("k").count().orderBy(F.desc("count"), "k")
+    keys = [r.k for r in (found if max_keys is None else found.limit(max_keys)).collect()]
     return with_exprs(df, {f"{target}_{k}": F.try_element_at(parsed, F.lit(k)) for k in keys})
 
 

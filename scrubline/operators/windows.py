@@ -15,17 +15,15 @@ def _value_ranks(df: DataFrame, column: str, keys: list[str], descending: bool,
 
     Ranks come from value counts, so ties never travel and no window sees all rows.
     """
-    value = -col(column).cast("double") if descending else col(column)
     counts = (
         df.where(col(column).isNotNull())
-        .groupBy(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)], col(column).alias("_v"),
-                 value.alias("_sort"))
+        .groupBy(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)], col(column).alias("_v"))
         .agg(F.count("*").alias("_ties"))
     )
     return running(
-        counts, [f"_g{i}" for i in range(len(keys))], ["_sort"],
+        counts, [f"_g{i}" for i in range(len(keys))], ["_v"],
         {"_upto": ("sum", F.col("_ties")), "_dense": ("count", F.lit(1))},
-        rows_per_bucket=rows_per_bucket,
+        reverse=descending, rows_per_bucket=rows_per_bucket,
     )
 
 
@@ -45,13 +43,11 @@ def add_rank(df: DataFrame, column: str, method: str = "average", new_col: str |
     if column not in df.columns:
         return df
     if method == "first":
-        numbered = df.withColumn("_sort", -col(column).cast("double"))
-        placed = running(numbered, keys, ["_sort", *as_list(order_by)],
-                         {"_place": ("count", F.when(col(column).isNotNull(), 1))},
-                         rows_per_bucket=rows_per_bucket)
-        return placed.withColumn(new_col, F.when(col(column).isNotNull(), F.col("_place"))).drop(
-            "_sort", "_place"
-        )
+        # rows of higher values, then the place among the rows of the same value
+        placed = running(df, [*keys, column], order_by, {"_place": ("count", F.lit(1))}, rows_per_bucket=rows_per_bucket)
+        ranks = _value_ranks(df, column, keys, True, rows_per_bucket)
+        return _join_ranks(placed, column, keys, ranks).select(
+            *[col(c) for c in df.columns], F.when(col(column).isNotNull(), F.col("_upto") - F.col("_ties") + F.col("_place")).alias(new_col))
     ranks = _value_ranks(df, column, keys, True, rows_per_bucket)
     upto, ties = F.col("_upto"), F.col("_ties")
     rank = {
@@ -167,6 +163,13 @@ def cumulative_stats(df: DataFrame, column: str, operations=("sum", "max", "min"
             {f"{column}_rolling_{op}_{window}": f"{column}_cum_{op}" for op in ops}
         )
     value = col(column).cast("double")
+    if {"std", "var"} & set(ops):
+        # sums of squares are taken about the key's first value, which every prefix holds: no cancellation
+        keys, order = as_list(partition_by), F.struct(*[col(o) for o in as_list(order_by)])
+        firsts = df.where(value.isNotNull()).groupBy(*[col(k).alias(f"_f{i}") for i, k in enumerate(keys)]).agg(F.min_by(value, order).alias("_first"))
+        same = [col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)]
+        df = df.join(firsts, same, "left").drop(*[f"_f{i}" for i in range(len(keys))]) if keys else df.withColumn("_first", F.lit((firsts.first() or [None])[0]).cast("double"))
+        shifted = value - F.col("_first")
     specs: dict[str, tuple[str, Column]] = {}
     for op in ops:
         if op in ("sum", "max", "min", "count"):
@@ -175,13 +178,14 @@ def cumulative_stats(df: DataFrame, column: str, operations=("sum", "max", "min"
             specs["_n"] = ("count", value)
             specs["_s"] = ("sum", value)
             if op != "mean":
-                specs["_q"] = ("sum", value * value)
+                specs["_d"] = ("sum", shifted)
+                specs["_q"] = ("sum", shifted * shifted)
         else:
             raise ValueError(f"unknown cumulative operation: {op}")
     out = running(df, partition_by, order_by, specs, rows_per_bucket=rows_per_bucket)
     n, s = F.col("_n"), F.col("_s")
-    variance = F.when(n > 1, F.greatest((F.col("_q") - s * s / n) / (n - 1), F.lit(0.0))) if "_q" in specs else None
+    variance = F.when(n > 1, F.greatest((F.col("_q") - F.col("_d") * F.col("_d") / n) / (n - 1), F.lit(0.0))) if "_q" in specs else None
     derived = {"mean": s / n, "var": variance, "std": F.sqrt(variance) if variance is not None else None}
     out = out.withColumns({f"{column}_cum_{op}": derived[op] for op in ops if op in derived})
-    return out.drop("_n", "_s", "_q")
+    return out.drop("_n", "_s", "_q", "_d", "_first")
 

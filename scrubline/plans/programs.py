@@ -329,7 +329,7 @@ def _few_values(df: DataFrame, names: list[str], limit: int) -> list[str]:
 def apply_learned_rules(df: DataFrame, domain: str, rules: DataFrame, min_confidence: float = 0.5, column_patterns: dict | None = None) -> DataFrame:
     """Run the confident rules of a domain (and general ones) on the columns their pattern fits.
 
-    ``rules``: ``(domain, column_pattern, action, confidence)``, a small table
+    ``rules``: ``(domain, column_pattern, action, confidence)``, a table of a domain's rules, all of them,
     that becomes plan steps on the driver.
     """
     import re
@@ -338,7 +338,7 @@ def apply_learned_rules(df: DataFrame, domain: str, rules: DataFrame, min_confid
 
     patterns = column_patterns or COLUMN_PATTERNS
     chosen = rules.where(F.col("domain").isin(domain, "general") & (F.col("confidence") >= min_confidence)).orderBy(
-        F.desc("confidence"), "column_pattern", "action").limit(1000).collect()
+        F.desc("confidence"), "column_pattern", "action").collect()
     for rule in chosen:
         regex = patterns.get(rule["column_pattern"], re.escape(rule["column_pattern"]))
         for name in [c for c in df.columns if re.search(regex, c.lower())]:

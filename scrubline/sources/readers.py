@@ -13,7 +13,7 @@ from ..core import as_list
 # --- fixed values ------------------------------------------------------------
 DELIMITERS = [",", ";", "\t", "|"]
 ENVELOPES = ["data", "records", "results"]
-DEFAULT_ROW_LIMIT = 100_000
+ENCODINGS = ["utf-8", "iso-8859-1"]
 # --- end of fixed values -----------------------------------------------------
 
 CORRUPT = "_corrupt_record"
@@ -32,12 +32,28 @@ def sniff_delimiter(spark: SparkSession, paths, encoding: str | None = None) ->
     return best if fit(best)[1] else ","
 
 
+def find_encoding(spark: SparkSession, paths, encodings=None) -> str:
+    """First of the encodings in which no line has an undecodable byte, else the last; one pass for each one tried."""
+    encodings = list(encodings or ENCODINGS)
+    for name in encodings[:-1]:
+        if spark.read.option("encoding", name).csv(as_list(paths), sep="\x01", quote="", schema="line string").where(F.col("line").contains("\ufffd")).isEmpty():
+            return name
+    return encodings[-1]
+
+
 def read_delimited(spark: SparkSession, paths, delimiter: str | None = None, encoding: str | None = None, schema=None,
-                   keep_corrupt: bool = False, header: bool = True) -> DataFrame:
-    """CSV, TSV or TXT as text columns (or with a schema); no inference pass over the data."""
+                   keep_corrupt: bool = False, header: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV, TSV or TXT as text columns (or with a schema); no inference pass over the data.
+
+    Quoted values may hold delimiters, doubled quotes and line breaks.  For line
+    breaks a file is read by one task; files known to have none can be split with
+    ``multi_line=False``.  ``encoding="auto"`` takes the first of ``ENCODINGS`` that fits.
+    """
     paths = as_list(paths)
+    if encoding == "auto":
+        encoding = find_encoding(spark, paths)
     mark = delimiter or sniff_delimiter(spark, paths, encoding)
-    reader = spark.read.option("header", header).option("sep", mark).option("mode", "PERMISSIVE").option("multiLine", False)
+    reader = spark.read.option("header", header).option("sep", mark).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
     if encoding:
         reader = reader.option("encoding", encoding)
     if schema is not None:
@@ -111,9 +127,9 @@ def read_collection(spark: SparkSession, folder: str, glob: str = "*.csv", delim
     return df.select(name.alias("dataset"), *df.columns)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = DEFAULT_ROW_LIMIT,
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = None,
               partition_column: str | None = None, bounds: tuple | None = None, num_partitions: int = 8, options: dict | None = None) -> DataFrame:
-    """Table or SELECT-only query; with a partition column and bounds it is read in parallel ranges."""
+    """Table or SELECT-only query, all rows unless ``limit`` is given; with a partition column and bounds it is read in parallel ranges."""
     if (table is None) == (query is None):
         raise ValueError("give either a table or a query")
     if query is not None:
@@ -126,7 +142,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
         low, high = bounds
         reader = reader.option("partitionColumn", partition_column).option("lowerBound", low).option("upperBound", high).option("numPartitions", num_partitions)
     df = reader.load()
-    return df.limit(limit) if limit is not None and not partition_column else df
+    return df.limit(limit) if limit is not None else df
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "csv", max_files: int | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifex
         raise ValueError(f"unknown format: {fmt}")
     writer = without_zones(df).write.format(fmt).mode(mode)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*as_list(partition_by))
     writer.save(path)
