@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import issues, profile
+from ..plans import learning
 from .base import query
+from .learning import cells
 from .missing import rounded
 
 DIRTY = """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(c_mktsegment) WHEN 1 THEN ' ' || c_mktsegment ELSE c_mktsegment END AS segment,
@@ -151,7 +153,7 @@ def recommend_fixes(t):
 
 @query("detect_domain")
 def detect_domain(t):
-    names = [(n, c) for n in ("customer", "orders", "lineitem", "part", "supplier", "events") for c in getattr(t, n).columns]
-    listed = t.spark.createDataFrame(names, "dataset string, column string")
-    sizes = [getattr(t, n).agg(F.lit(n).alias("dataset"), F.count("*").alias("rows")) for n in ("customer", "orders", "lineitem", "part", "supplier", "events")]
-    return profile.detect_domain(listed).join(profile.union_all(sizes), "dataset")
+    """Domains of all tables, from the names and sizes that a pass over their cells finds."""
+    features = learning.extract_dataset_features(cells(t)).select("dataset", "column", "rows")
+    sizes = features.groupBy("dataset").agg(F.max("rows").alias("rows"))
+    return profile.detect_domain(features.select("dataset", "column")).join(sizes, "dataset")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import col, is_numeric, is_string, is_temporal, string_columns
+from ..core import batches, col, is_numeric, is_string, is_temporal, one_row, string_columns
 from ..functions import values as fixed
 from ..functions.dates import as_timestamp
 from ..functions.numbers import to_number
@@ -173,28 +173,28 @@ def detect_issues(df: DataFrame, with_duplicates: bool = True) -> DataFrame:
     return copies.unionByName(found)
 
 
-def _facts(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, missing cells, duplicate rows."""
-    missing = reduce(lambda a, b: a + b, [F.count("*") - F.count(col(c)) for c in df.columns])
-    cells = df.agg(F.count("*").alias("n"), missing.alias("missing_cells"))
-    copies = duplicate_report(df).select("duplicate_rows")
-    return cells.withColumn("_k", F.lit(1)).join(copies.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn(
-        "columns", F.lit(len(df.columns)))
-
-
 def score_deductions(df: DataFrame, issues: DataFrame | None = None) -> DataFrame:
-    """``(reason, category, points)`` of every capped penalty."""
-    issues = detect_issues(df) if issues is None else issues
-    facts = _facts(df)
-    base = facts.select(F.inline(F.array(
+    """``(reason, category, points)`` of every capped penalty.
+
+    Filled cells and duplicate rows are counted once, for the base penalties and
+    for the shares of the issues.
+    """
+    issues = detect_issues(df, with_duplicates=False) if issues is None else issues
+    counts = {}
+    for part in batches(df.columns, 40):
+        row = one_row(df, [F.count("*").alias("rows"), *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(part)]])
+        counts |= {c: row[f"c{i}"] for i, c in enumerate(part)}
+        rows = row["rows"]
+    spark, missing = df.sparkSession, sum(rows - n for n in counts.values())
+    filled = spark.createDataFrame(list(counts.items()), "column string, filled long")
+    base = duplicate_report(df).select(F.inline(F.array(
         F.struct(F.lit("missing_values").alias("reason"), F.lit("Completeness").alias("category"),
-                 F.round(F.least(F.col("missing_cells") / (F.col("n") * F.col("columns")) * 30, F.lit(30.0)), 2).alias("points")),
+                 F.lit(round(min(missing / (rows * len(counts)) * 30, 30.0), 2) if rows else None).cast("double").alias("points")),
         F.struct(F.lit("duplicate_rows").alias("reason"), F.lit("Duplicates").alias("category"),
-                 F.round(F.least(F.col("duplicate_rows") / F.col("n") * 20, F.lit(20.0)), 2).alias("points")))))
+                 F.round(F.least(F.try_divide("duplicate_rows", F.lit(rows)) * 20, F.lit(20.0)), 2).alias("points")))))
     config = df.sparkSession.createDataFrame(
         [(k, c, p, cap, m) for k, (c, p, cap, m) in PENALTIES.items()],
         "reason string, category string, penalty double, cap double, multiplier double")
-    filled = per_column(df, df.columns, lambda n: {"filled": F.count(col(n))})
     weight = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
     kind = F.when(F.contains("type", F.lit("outlier")), "outlier").otherwise(F.col("type"))
     joined = issues.withColumn("reason", kind).join(F.broadcast(config), "reason").join(

@@ -212,19 +212,15 @@ def pattern_validate(df: DataFrame, columns=None, patterns=None) -> DataFrame:
     unknown = [p for p in wanted if p not in fixed.PATTERNS]
     if unknown:
         raise ValueError(f"unknown patterns: {unknown}")
-    parts = []
-    # one scan per column; all patterns of the column in the same aggregate
-    for name in names:
-        text = col(name).cast("string")
-        counted = df.agg(F.count(text).alias("total"),
-                         *[F.count_if(pattern_hit(text, p)).alias(p) for p in wanted])
-        items = F.array(*[
-            F.struct(F.lit(name).alias("column"), F.lit(p).alias("pattern_name"),
-                     F.lit(fixed.PATTERN_CATEGORY[p]).alias("category"), F.col(p).alias("matches"), F.col("total"))
-            for p in wanted
-        ])
-        parts.append(counted.select(F.inline(items)))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
+    # one scan for all columns, and a row for each column even without rows
+    texts = df.select(*[col(c).cast("string").alias(c) for c in names]).unpivot([], names, "column", "text")
+    counted = texts.groupBy("column").agg(F.count("text").alias("total"), *[F.count_if(pattern_hit(F.col("text"), p)).alias(p) for p in wanted])
+    counted = df.sparkSession.createDataFrame([(c,) for c in names], "column string").join(counted, "column", "left")
+    items = F.array(*[
+        F.struct(F.lit(p).alias("pattern_name"), F.lit(fixed.PATTERN_CATEGORY[p]).alias("category"), F.coalesce(col(p), F.lit(0)).alias("matches"))
+        for p in wanted
+    ])
+    out = counted.select("column", F.coalesce("total", F.lit(0)).alias("total"), F.inline(items)).select("column", "pattern_name", "category", "matches", "total")
     return out.withColumn("match_pct", F.round(F.try_divide("matches", "total") * 100, 2))
 
 
