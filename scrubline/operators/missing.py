@@ -154,14 +154,28 @@ def fill_missing_bfill(df: DataFrame, column=None, order_by=None, partition_by=N
 def fill_missing_interpolate(df: DataFrame, column=None, order_by=None, partition_by=None,
                              method: str = "linear",
                              rows_per_bucket: int | None = None) -> DataFrame:
-    """Linear by row position; leading gap stays null, trailing gap repeats the last value."""
-    if method != "linear":
+    """Gaps between two values of an ordered column.
+
+    ``linear`` goes by row position and ``time`` by the first order column (a
+    number, date or time); ``nearest`` takes the nearer row's value, the earlier
+    one when both are as near; ``previous`` and ``next`` take that neighbour's.
+    A leading gap stays null but for ``next``; a trailing gap repeats the last
+    value but for ``next``, where it stays null.
+    """
+    if method not in ("linear", "time", "nearest", "previous", "next"):
         raise ValueError(f"unsupported interpolation: {method}")
+    if method in ("previous", "next"):
+        numeric = [c for c in chosen(df, column, numeric_columns(df)) if is_numeric(df, c)]
+        scan = fill_missing_ffill if method == "previous" else fill_missing_bfill
+        return scan(df, numeric, order_by, partition_by, rows_per_bucket)
     keys, order = as_list(partition_by), as_list(order_by)
     names = [c for c in chosen(df, column, numeric_columns(df)) if is_numeric(df, c)]
     names = [c for c in names if c not in keys + order]
-    numbered = running(df, keys, order, {"_row": ("count", F.lit(1))},
-                       rows_per_bucket=rows_per_bucket)
+    if method == "time":
+        when = col(order[0])
+        numbered = df.withColumn("_row", when.cast("double") if is_numeric(df, order[0]) else F.unix_micros(when.cast("timestamp")).cast("double"))
+    else:
+        numbered = running(df, keys, order, {"_row": ("count", F.lit(1))}, rows_per_bucket=rows_per_bucket)
 
     def point(c):
         return F.when(col(c).isNotNull(),
@@ -175,7 +189,9 @@ def fill_missing_interpolate(df: DataFrame, column=None, order_by=None, partitio
     for i, c in enumerate(names):
         p, q = F.col(f"_p{i}"), F.col(f"_q{i}")
         slope = F.try_divide(q["v"] - p["v"], q["r"] - p["r"])
-        line = p["v"] + slope * (F.col("_row") - p["r"])
+        line = F.coalesce(p["v"] + slope * (F.col("_row") - p["r"]), p["v"])
+        if method == "nearest":
+            line = F.when(F.col("_row") - p["r"] <= q["r"] - F.col("_row"), p["v"]).otherwise(q["v"])
         place[c] = (
             F.when(col(c).isNotNull(), col(c).cast("double"))
             .when(p.isNull(), F.lit(None).cast("double"))

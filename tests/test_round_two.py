@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scrubline import operators  # noqa: F401
 from scrubline.core import name_words
 from scrubline.functions.stats import quantiles
-from scrubline.operators import aggregate, anomalies, lineage, schema, windows
+from scrubline.operators import aggregate, anomalies, compare, lineage, missing, schema, windows
 from scrubline.sources import readers, writers
 
 
@@ -66,6 +66,23 @@ def test_sql_keeps_all_rows(spark):
     assert aggregate.sql_query(spark.range(150_000).toDF("i"), "SELECT i FROM df").count() == 150_000
 
 
+def test_interpolation_methods(spark):
+    rows = [(1, None), (2, 10.0), (3, None), (4, None), (10, 26.0), (11, None)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    want = {"linear": [None, 10.0, 15.333333, 20.666667, 26.0, 26.0], "time": [None, 10.0, 12.0, 14.0, 26.0, 26.0], "nearest": [None, 10.0, 10.0, 26.0, 26.0, 26.0],
+            "previous": [None, 10.0, 10.0, 10.0, 26.0, 26.0], "next": [10.0, 10.0, 26.0, 26.0, 26.0, None]}
+    for method, values in want.items():
+        out = missing.fill_missing_interpolate(df, "v", "i", method=method).orderBy("i").collect()
+        assert [None if r.v is None else round(r.v, 6) for r in out] == values, method
+
+
+def test_integrity_of_keys(spark):
+    df = spark.range(100).selectExpr("id AS order_id", "if(id % 10 = 0, null, if(id % 10 = 1, -1, id % 20)) AS parent_id")
+    got = {(r.type, r.column, r.ref_column): r["count"] for r in compare.referential_integrity(df).collect()}
+    assert got == {("null_fk", "parent_id", None): 10, ("orphaned_fk", "parent_id", "order_id"): 10}
+    assert compare.referential_integrity(df.limit(0)).count() == 0
+
+
 def test_names_are_split_into_words():
     assert name_words("Unit Price (USD)") == ["unit", "price", "usd"]
     assert name_words("customerIDNumber", by_case=True) == ["customer", "id", "number"]
