@@ -80,3 +80,11 @@ def aggregate_by_period(t):
     df = t.orders.where("month(o_orderdate) <> 5")
     out = dates.aggregate_by_period(df, "o_orderdate", "o_totalprice", "M", "sum")
     return out.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.round("o_totalprice", 2).alias("o_totalprice"))
+
+
+@query("aggregate_by_period_median", """
+WITH s AS (SELECT date_trunc('quarter', o_orderdate) AS m, quantile_cont(o_totalprice, 0.5) AS v FROM orders GROUP BY 1)
+SELECT strftime(m, '%Y-%m-%d') AS o_orderdate, round(v, 2) AS o_totalprice FROM s""")
+def aggregate_by_period_median(t):
+    out = dates.aggregate_by_period(t.orders, "o_orderdate", "o_totalprice", "Q", "median")
+    return out.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.round("o_totalprice", 2).alias("o_totalprice"))

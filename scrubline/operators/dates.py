@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core import action, as_list, col, numeric_columns, with_exprs
 from ..functions.dates import as_timestamp, parse_dates, spark_format, whole_days
+from ..functions.stats import grouped_quantile
 
 
 @action("standardise_dates", "standardise_mixed_dates", row_wise=True)
@@ -116,7 +117,7 @@ PERIODS = {
 
 _AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
-    "median": F.median, "std": F.stddev_samp,
+    "std": F.stddev_samp,
 }
 
 
@@ -131,11 +132,16 @@ def aggregate_by_period(df: DataFrame, date_column: str, value_column: str | Non
     unit, step = PERIODS[period]
     values = [value_column] if value_column else [c for c in numeric_columns(df) if c != date_column]
     start = F.date_trunc(unit, as_timestamp(df, date_column, dayfirst)).cast("timestamp_ntz")
-    fold = _AGGREGATES[agg_func]
-    rolled = (
-        df.withColumn("_period", start).where("_period is not null").groupBy("_period")
-        .agg(*[fold(col(v)).alias(v) for v in values])
-    )
+    dated = df.withColumn("_period", start).where("_period is not null")
+    if agg_func == "median":
+        # a period's values never meet in one task
+        rolled = dated.select("_period").distinct()
+        for v in values:
+            middle = grouped_quantile(dated, ["_period"], col(v), 0.5).select(F.col("_period").alias("_p"), F.col("q").alias(v))
+            rolled = rolled.join(middle, F.col("_period") == F.col("_p"), "left").drop("_p")
+    else:
+        fold = _AGGREGATES[agg_func]
+        rolled = dated.groupBy("_period").agg(*[fold(col(v)).alias(v) for v in values])
     span = rolled.agg(F.min("_period").alias("lo"), F.max("_period").alias("hi"))
     grid = span.where("lo is not null").select(F.explode(F.expr(f"sequence(lo, hi, {step})")).alias(date_column))
     out = grid.join(rolled, F.col(date_column) == F.col("_period"), "left").drop("_period")
