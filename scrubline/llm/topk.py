@@ -99,9 +99,10 @@ def search(vectors: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vec
     chosen = rows.select("id", "dim", "v").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
     pivots = spark.sparkContext.broadcast([(r["dim"], np.array(r["v"], np.float64)) for r in chosen])
 
-    asked = rows.where("query").select("dim", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).alias("qb"), "id", "v").dropDuplicates(["id", "v"])
+    # block numbers have one type on both sides, as cogroup hashes each side's own
+    asked = rows.where("query").select("dim", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), "id", "v").dropDuplicates(["id", "v"])
     asked = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    found = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).alias("cb"), "id", "v")
+    found = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int").alias("cb"), "id", "v")
     found = found.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def compare(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -178,6 +178,8 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_ROWS", 7)
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 90)
     monkeypatch.setattr(topk, "_STEP", 16)
+    # many partitions, so that both sides of a block have to be dealt alike
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rows, df = vectors(spark)
     good = [(i, np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = {}
@@ -186,6 +188,7 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         for rank, (s, c) in enumerate(scored, 1):
             want[q, rank] = (c, -s)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == want
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
