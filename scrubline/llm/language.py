@@ -27,7 +27,9 @@ from .common import default_path, free_name, map_batches, shared_bytes, text_of
 from .pieces import BLANK, Pieces
 
 #: words that a task counts, or a worker remembers, before it writes or clears them
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
+#: texts that are taken apart at once
+_ROWS = 500
 #: words of a lattice; a longer word is cut into pieces of so many characters that are scored one after the other
 LONGEST = 48
 #: added to each piece's expected count
@@ -35,13 +37,10 @@ SMOOTHING = 0.5
 _UNIT = 1 << 16
 
 
-def _cut(words: list[str]) -> list[str]:
-    """Words as the vocabulary has them, with the sign of a blank before; very long ones in parts."""
-    out = []
-    for w in words:
-        w = BLANK + w
-        out += [w] if len(w) <= LONGEST else [w[i:i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+def _parts(word: str) -> list[str]:
+    """A word as the vocabulary has it, with the sign of a blank before; a very long one in parts."""
+    word = BLANK + word
+    return [word] if len(word) <= LONGEST else [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
 _NUMBERED: dict = {}
@@ -109,22 +108,20 @@ class Lattices:
 
 def _word_counts(batches):
     """(language, word) counts of what a task reads; column 0: language, column 1: text."""
-    found: Counter = Counter()
+    found: dict[str, Counter] = {}
 
     def close():
-        out = {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
+        out = {"lang": [k for k, c in found.items() for _ in c], "word": [w for c in found.values() for w in c], "n": [n for c in found.values() for n in c.values()]}
         found.clear()
         return out
 
-    for batch in batches:
-        by: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, Counter()).update(text.split())
-        for lang, words in by.items():
-            for w, n in words.items():
-                found[lang, w] += n
-        if len(found) > WORDS_KEPT:
-            yield close()
+    for whole in batches:
+        for first in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(first, _ROWS)
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(text.split())
+            if sum(map(len, found.values())) > WORDS_KEPT:
+                yield close()
     yield close()
 
 
@@ -138,7 +135,7 @@ def _expected(model, probabilities, langs: list[str]):
         for batch in batches:
             words, lang, n = [], [], []
             for x, w, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for part in _cut([w]):
+                for part in _parts(w):
                     words.append(part)
                     lang.append(known[x])
                     n.append(k)
@@ -183,30 +180,35 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
         p = np.ascontiguousarray(fitted.value.T)
         known: dict[str, int] = {}
         table = np.zeros((0, len(langs)))
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            if len(known) > WORDS_KEPT:
-                known, table = {}, np.zeros((0, len(langs)))
-            pred, score = [], []
-            for first in range(0, len(texts), 1000):
-                cut = [_cut(t.split()) if langs and any(map(str.isalpha, t)) else [] for t in texts[first:first + 1000]]
-                new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
-                for at in range(0, len(new), 20_000):
-                    part = new[at:at + 20_000]
-                    lattice = Lattices(pieces, part)
-                    for w in part:
-                        known[w] = len(known)
-                    table = np.concatenate([table, np.log(lattice.forward(p[lattice.ids])[lattice.last])])
-                for words in cut:
-                    if not words:
+
+        def learn(new: list[str]):
+            nonlocal table
+            for at in range(0, len(new), 20_000):
+                parts = [_parts(w) for w in new[at:at + 20_000]]
+                lattice = Lattices(pieces, [x for each in parts for x in each])
+                scores = np.log(lattice.forward(p[lattice.ids])[lattice.last])
+                starts = np.cumsum([0, *map(len, parts[:-1])])
+                known.update(zip(new[at:at + 20_000], range(len(known), len(known) + len(parts)), strict=True))
+                table = np.concatenate([table, np.add.reduceat(scores, starts, axis=0)])
+
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                if len(known) > WORDS_KEPT:
+                    known, table = {}, np.zeros((0, len(langs)))
+                counted = [Counter(t.split()) if t and langs and any(map(str.isalpha, t)) else None for t in batch.column(text_at).to_pylist()]
+                learn(list(dict.fromkeys(w for c in counted if c for w in c if w not in known)))
+                pred, score = [], []
+                for c in counted:
+                    if not c:
                         pred.append("und")
                         score.append(0.0)
                         continue
-                    total = table[[known[w] for w in words]].sum(axis=0)
+                    total = np.fromiter(c.values(), np.float64, len(c)) @ table[[known[w] for w in c]]
                     best = int(total.argmax())
                     pred.append(langs[best])
                     score.append(float(1.0 / np.exp(total - total[best]).sum()))
-            yield {**{n: batch.column(i) for i, n in enumerate(batch.schema.names)}, names[0]: pred, names[1]: score}
+                yield {**{n: batch.column(i) for i, n in enumerate(batch.schema.names)}, names[0]: pred, names[1]: score}
 
     return run
 
