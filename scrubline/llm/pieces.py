@@ -38,10 +38,10 @@ BLANK = "▁"
 #: what an unknown character's score is below the lowest piece score (the library's value)
 UNKNOWN_PENALTY = 10.0
 #: chunks that a worker remembers, and how long a remembered one may be
-CHUNKS_KEPT, CHUNK_CHARS = 600_000, 64
+CHUNKS_KEPT, CHUNK_CHARS = 300_000, 64
 
 #: admitted and other pairs that a worker remembers
-PAIRS_KEPT = 1_000_000
+PAIRS_KEPT = 500_000
 
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 UNIGRAM, MERGES = 1, 2
