@@ -3,7 +3,8 @@
 A language is a distribution over the pieces of a public vocabulary.  A word's
 probability is the sum over all its segmentations of the product of the piece
 probabilities, which a forward pass over the word's lattice gives; a text's is
-the product over its words.  Piece probabilities come from expected piece counts
+the product over its words, as a sum of logarithms; inside a word, products are
+scaled before they get too small.  Piece probabilities come from expected piece counts
 (a forward-backward pass) over the counted words of all learned documents,
 starting from equal ones.
 
@@ -30,17 +31,23 @@ from .pieces import BLANK, Pieces
 WORDS_KEPT = 200_000
 #: texts that are taken apart at once
 _ROWS = 500
-#: words of a lattice; a longer word is cut into pieces of so many characters that are scored one after the other
-LONGEST = 48
+#: characters of the words of one lattice; a longer word has one for itself
+_CHARS = 200_000
 #: added to each piece's expected count
 SMOOTHING = 0.5
 _UNIT = 1 << 16
 
 
-def _parts(word: str) -> list[str]:
-    """A word as the vocabulary has it, with the sign of a blank before; a very long one in parts."""
-    word = BLANK + word
-    return [word] if len(word) <= LONGEST else [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
+def _slices(words: list[str]):
+    """Bounds of runs of words with so many characters that one lattice holds them."""
+    first, chars = 0, 0
+    for i, word in enumerate(words):
+        if chars + len(word) > _CHARS and i > first:
+            yield first, i
+            first, chars = i, 0
+        chars += len(word)
+    if words:
+        yield first, len(words)
 
 
 _NUMBERED: dict = {}
@@ -69,6 +76,7 @@ class Lattices:
         A node is a place in that text; a word's last node is its line's end.
         """
         sizes = np.array([len(w) for w in words], np.int64)
+        self.sizes = sizes
         self.last = np.cumsum(sizes + 1) - 1
         self.first = self.last - sizes
         self.nodes = int(self.last[-1]) + 1
@@ -76,6 +84,7 @@ class Lattices:
         found = np.fromiter(chain.from_iterable(automaton.iter("\n".join(words))), np.int64).reshape(-1, 2)
         ends, ids = found[:, 0] + 1, found[:, 1]
         lengths = length_of[ids]
+        self.reach = int(length_of.max())
         alone = np.ones(self.nodes, bool)
         alone[self.last] = False
         alone[ends[lengths == 1] - 1] = False
@@ -89,7 +98,7 @@ class Lattices:
         self.steps = np.flatnonzero(np.diff(levels[order], prepend=-1)).tolist() + [len(order)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """p: (edges, ...) probabilities; sums over all ways to each node."""
+        """p: (edges, ...) probabilities; sums over all ways to each node, which for a long word may be too small for a number."""
         alpha = np.zeros((self.nodes, *p.shape[1:]))
         alpha[self.first] = 1.0
         for a, b in zip(self.steps, self.steps[1:], strict=False):
@@ -105,6 +114,50 @@ class Lattices:
             np.add.at(beta, self.starts[a:b], beta[self.ends[a:b]] * p[a:b])
         return beta
 
+    def _scaled(self, p: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over all ways to the last nodes, and the powers of two that they are to be taken times.
+
+        Before products could get too small, the nodes that later edges start from
+        are scaled so that the newest one is from 0.5 to 1; by powers of two, so
+        that no digit changes.  ``weights`` gets each edge's part of the sum at its end.
+        """
+        alpha = np.zeros((self.nodes, *p.shape[1:]))
+        alpha[self.first] = 1.0
+        powers = np.zeros((len(self.sizes), *p.shape[1:]), np.int64)
+        least = float(p.min()) if len(p) else 1.0
+        every = max(1, int(-300 / np.log10(least))) if 0 < least < 1 else 1
+        for level, (a, b) in enumerate(zip(self.steps, self.steps[1:], strict=False), 1):
+            flow = alpha[self.starts[a:b]] * p[a:b]
+            cuts = np.flatnonzero(np.diff(self.ends[a:b], prepend=-1))
+            found = np.add.reduceat(flow, cuts, axis=0)
+            alpha[self.ends[a:b][cuts]] = found
+            if weights is not None:
+                weights[a:b] = flow / np.repeat(found, np.diff(cuts, append=b - a), axis=0)
+            if level % every == 0:
+                longer = np.flatnonzero(self.sizes > level)
+                newest = self.first[longer] + level
+                power = np.frexp(alpha[newest])[1]
+                used = newest[:, None] - np.arange(min(self.reach, level + 1))
+                alpha[used] = np.ldexp(alpha[used], -power[:, None])
+                powers[longer] += power
+        return alpha[self.last], powers
+
+    def log_sums(self, p: np.ndarray) -> np.ndarray:
+        """p: (edges, ...) probabilities; logarithms of the sums over all ways through each word, however long."""
+        alpha, powers = self._scaled(p)
+        return np.log(alpha) + powers * np.log(2.0)
+
+    def shares(self, p: np.ndarray) -> np.ndarray:
+        """p: (edges,) probabilities; the part of all ways through its word that uses each edge."""
+        share = np.empty(len(p))
+        self._scaled(p, share)
+        through = np.zeros(self.nodes)
+        through[self.last] = 1.0
+        for a, b in reversed(list(zip(self.steps, self.steps[1:], strict=False))):
+            share[a:b] *= through[self.ends[a:b]]
+            np.add.at(through, self.starts[a:b], share[a:b])
+        return share
+
 
 def _word_counts(batches):
     """(language, word) counts of what a task reads; column 0: language, column 1: text."""
@@ -133,21 +186,13 @@ def _expected(model, probabilities, langs: list[str]):
         p = probabilities.value
         total = np.zeros((len(langs), pieces.size + 1), np.int64)
         for batch in batches:
-            words, lang, n = [], [], []
-            for x, w, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for part in _parts(w):
-                    words.append(part)
-                    lang.append(known[x])
-                    n.append(k)
-            if not words:
-                continue
-            lattice = Lattices(pieces, words)
-            owner = lattice.owner_of[lattice.starts]
-            lang, n = np.array(lang)[owner], np.array(n, np.float64)
-            each = p[lang, lattice.ids]
-            alpha, beta = lattice.forward(each), lattice.backward(each)
-            share = alpha[lattice.starts] * each * beta[lattice.ends] / alpha[lattice.last][owner]
-            np.add.at(total, (lang, lattice.ids), np.rint(share * n[owner] * _UNIT).astype(np.int64))
+            lang, word, n = (batch.column(i).to_pylist() for i in range(3))
+            words, lang, n = [BLANK + w for w in word], np.array([known[x] for x in lang], np.int64), np.array(n, np.float64)
+            for first, end in _slices(words):
+                lattice = Lattices(pieces, words[first:end])
+                owner = lattice.owner_of[lattice.starts] + first
+                share = lattice.shares(p[lang[owner], lattice.ids])
+                np.add.at(total, (lang[owner], lattice.ids), np.rint(share * n[owner] * _UNIT).astype(np.int64))
         at = np.nonzero(total)
         yield {"lang": at[0].tolist(), "piece": at[1].tolist(), "n": total[at].tolist()}
 
@@ -183,13 +228,12 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
 
         def learn(new: list[str]):
             nonlocal table
-            for at in range(0, len(new), 20_000):
-                parts = [_parts(w) for w in new[at:at + 20_000]]
-                lattice = Lattices(pieces, [x for each in parts for x in each])
-                scores = np.log(lattice.forward(p[lattice.ids])[lattice.last])
-                starts = np.cumsum([0, *map(len, parts[:-1])])
-                known.update(zip(new[at:at + 20_000], range(len(known), len(known) + len(parts)), strict=True))
-                table = np.concatenate([table, np.add.reduceat(scores, starts, axis=0)])
+            new.sort(key=len)
+            words = [BLANK + w for w in new]
+            for first, end in _slices(words):
+                lattice = Lattices(pieces, words[first:end])
+                known.update(zip(new[first:end], range(len(known), len(known) + end - first), strict=True))
+                table = np.concatenate([table, lattice.log_sums(p[lattice.ids])])
 
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
@@ -219,10 +263,9 @@ def identify(docs: DataFrame, train: DataFrame, path: str | None = None, text_co
     ``train`` has columns lang and text; rows where either is null are left out.
     Predictions use the text alone.  A null text, one without a letter, and any
     text if nothing can be learned, is ``und`` with score 0; equal likelihoods go
-    to the language that sorts first.  Texts are taken whole, rows one by one; a
-    word over 48 characters is scored in parts of that length.  New columns give
-    way to columns of the same name by leading underscores.  An empty table
-    gives an empty result.
+    to the language that sorts first.  Texts are taken whole, rows one by one, and so
+    are words, however long.  New columns give way to columns of the same name by
+    leading underscores.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     model = shared_bytes(spark, path or default_path("piece_bpe_32k.model"))

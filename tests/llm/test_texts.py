@@ -194,6 +194,51 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(back[lattice.first], got)
 
 
+def test_long_runs_of_unseen_characters_keep_their_likelihood(spark):
+    model = pieces.Pieces.load(open(default_path("piece_bpe_32k.model"), "rb").read())
+    words = ["▁" + "\u0e01" * 47, "▁" + "\u0e01\u3042\u0639" * 1500, "▁" + "thequickbrownfox" * 300, "▁the", "▁rainy"]
+    lattice = language.Lattices(model, words)
+    rng = np.random.default_rng(3)
+    p = np.stack([np.full(model.size + 1, 0.5 / 6e9), rng.random(model.size + 1) * 1e-12 + 1e-14, rng.random(model.size + 1)], axis=1)
+    got = lattice.log_sums(p[lattice.ids])
+    # word by word in logarithms
+    for w, word in enumerate(words):
+        for k in range(p.shape[1]):
+            best = [0.0] + [-np.inf] * len(word)
+            for s, e, i in zip(lattice.starts, lattice.ends, lattice.ids, strict=True):
+                if lattice.owner_of[s] == w:
+                    at, to = s - lattice.first[w], e - lattice.first[w]
+                    best[to] = np.logaddexp(best[to], best[at] + np.log(p[i, k]))
+            assert abs(got[w, k] - best[-1]) <= 1e-9 * abs(best[-1]) + 1e-9, (w, k)
+    short = language.Lattices(model, words[3:])
+    assert np.allclose(np.exp(short.log_sums(p[short.ids])), short.forward(p[short.ids])[short.last])
+    flat = p[:, 1]
+    each = short.forward(flat[short.ids])
+    back = short.backward(flat[short.ids])
+    owner = short.owner_of[short.starts]
+    assert np.allclose(short.shares(flat[short.ids]), each[short.starts] * flat[short.ids] * back[short.ends] / each[short.last][owner])
+    share = lattice.shares(flat[lattice.ids])
+    lengths = lattice.ends - lattice.starts
+    assert np.allclose(np.bincount(lattice.owner_of[lattice.starts], share * lengths), lattice.sizes)
+
+
+def test_unseen_run_does_not_decide_a_text(spark, monkeypatch):
+    run = "\u0e01\u0e02\u0e03\u0e04" * 12
+    words = {"en": "the house water tree green under light", "zz": "haus wasser baum grün unter licht morgen"}
+    train = spark.createDataFrame([(k, v) for k, v in words.items()], "lang string, text string")
+    docs = spark.createDataFrame([(0, f"haus {run} wasser baum"), (1, f"the house {run} tree"), (2, run), (3, "wasser" + run * 80)], "doc_id long, text string")
+    fit = language.fit
+
+    def large(*args):
+        langs, p = fit(*args)
+        return langs, np.where(p <= p.min(axis=1, keepdims=True) * 1.01, 0.5 / 6e9, p)
+
+    monkeypatch.setattr(language, "fit", large)
+    got = {r["doc_id"]: r for r in language.identify(docs, train).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1)] == ["zz", "en"]
+    assert all(0 < r["score"] <= 1 for r in got.values())
+
+
 def test_language_held_out_accuracy_and_undetermined(spark):
     words = {"en": "the of and house water tree green under light morning", "fr": "le la et maison eau arbre vert sous lumière matin", "de": "der die und haus wasser baum grün unter licht morgen"}
     rng = random.Random(2)
