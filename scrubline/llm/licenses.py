@@ -3,14 +3,15 @@
 A text is lower-cased (A-Z) and brought to words joined by single blanks.  If a
 notice occurs with at most k edits, then one of k + 1 disjoint parts of it occurs
 unchanged (pigeonhole), so exact search for the parts finds every candidate.
-Around each candidate the regex library's bounded-error matching decides, gives
-the edits and the span.  The numbers of one license must not be reached from
+At each pair of word edges around a candidate the regex library's bounded-error
+matching decides and gives the edits.  The numbers of one license must not be reached from
 another by edits ("version 1" from "version 2"), so a notice names the words that
 have to be there unchanged.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -67,45 +68,41 @@ def _fixed_kept(found: str, notice: Notice) -> bool:
 
 
 def spans_of(words: str, notices, patterns) -> list[tuple]:
-    """Notices in words joined by single blanks: (notice, start, end, edits), exact places first."""
+    """Notices in words joined by single blanks: (notice, start, end, edits), exact places first.
+
+    Every pair of word edges that a seed allows is tried; of places that overlap,
+    the one with fewer edits stays, then the earlier, then the shorter.
+    """
     out = []
     for notice, pattern in zip(notices, patterns, strict=True):
         n, k = len(notice.phrase), notice.edits
-        windows, exact = [], []
+        places, exact = set(), []
         for offset, seed in notice.seeds():
             at = words.find(seed)
             while at >= 0:
-                windows.append((max(0, at - offset - k - 1), min(len(words), at - offset + n + k + 1)))
+                # up to k edits before the seed move the place's start by up to k
+                for a in range(max(0, at - offset - k), min(len(words), at - offset + k) + 1):
+                    if a == 0 or words[a - 1] == " ":
+                        places.update((a, b) for b in range(max(a + 1, a + n - k), min(len(words), a + n + k) + 1) if b == len(words) or words[b] == " ")
                 at = words.find(seed, at + 1)
-        if not windows:
+        if not places:
             continue
-        windows.sort()
-        merged = [list(windows[0])]
-        for a, b in windows[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        for a, b in merged:
-            at = words.find(notice.phrase, a, b)
-            while at >= 0:
-                end = at + n
-                if (at == 0 or words[at - 1] == " ") and (end == len(words) or words[end] == " "):
-                    exact.append((at, end))
-                at = words.find(notice.phrase, at + 1, b)
+        near = []
+        for a, b in sorted(places):
+            if words[a:b] == notice.phrase:
+                exact.append((a, b))
+            elif k and words[a] != " " and words[b - 1] != " " and _fixed_kept(words[a:b], notice):
+                m = pattern.fullmatch(words, a, b)
+                if m:
+                    near.append((sum(m.fuzzy_counts), a, b))
         out += [(notice, a, b, 0) for a, b in exact]
-        if not k:
-            continue
-        for a, b in merged:
-            # exact places are known; between them, look for places with edits
-            cuts = [x for x in exact if x[0] >= a and x[1] <= b]
-            gaps = zip([a, *(x[1] for x in cuts)], [*(x[0] for x in cuts), b], strict=True)
-            for left, right in gaps:
-                if right - left < n - k:
-                    continue
-                for m in pattern.finditer(words, left, right):
-                    if _fixed_kept(m.group(), notice):
-                        out.append((notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+        taken = sorted(exact)
+        for edits, a, b in sorted(near):
+            i = bisect_left(taken, (a, b))
+            # places that are taken don't overlap, but for exact ones, of which none holds another
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                taken.insert(i, (a, b))
+                out.append((notice, a, b, edits))
     return out
 
 
@@ -143,8 +140,8 @@ def license_spans(docs: DataFrame, notices=NOTICES, id_col: str = "doc_id", text
     """(id, n_words, spans) for every row; a span has label, place in words, edits, score and its words.
 
     Edits are inserted, deleted or changed characters, blanks included.  A match
-    begins and ends at a word's edge.  Exact places are all reported, places with
-    edits without overlap of an exact one of the same notice.
+    begins and ends at a word's edge.  Exact places are all reported, and all places
+    with edits that overlap no exact one of the same notice and none with fewer edits.
 
     Null and empty texts have no words and no spans.  Rows are scanned one by
     one, so repeated rows and equal ids stay apart; long texts are taken whole.

@@ -84,6 +84,47 @@ def test_seeds_find_what_a_whole_text_search_finds():
         assert found == whole, words
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_all_damaged_notices_in_a_row_are_found():
+    patterns = licenses._patterns(licenses.NOTICES)
+
+    def found(words):
+        return [(n.label, words[a:b], edits) for n, a, b, edits in licenses.spans_of(words, licenses.NOTICES, patterns)]
+
+    got = found("gnu generl publc licens " * 5 + "gnu genral public license")
+    assert sorted(got) == [("gpl", "gnu generl publc licens", 3)] * 5 + [("gpl", "gnu genral public license", 1)]
+    assert found("apache lisense versiom 2 apache license version 1") == [("apache-2", "apache lisense versiom 2", 2)]
+    rng = random.Random(8)
+    for _ in range(60):
+        notice = rng.choice(licenses.NOTICES)
+        parts = []
+        for _ in range(rng.randint(2, 4)):
+            chars = list(notice.phrase)
+            for _ in range(rng.randint(0, notice.edits + 1)):
+                at = rng.randrange(len(chars))
+                chars[at:at + 1] = rng.choice([[], ["q"], [chars[at], "q"], [" "]])
+            parts.append("".join(chars))
+        words = " ".join(" ".join(parts).split())
+        starts = [0, *(i + 1 for i, c in enumerate(words) if c == " ")]
+        ends = [*(i for i, c in enumerate(words) if c == " "), len(words)]
+        near = sorted((d, a, b) for a in starts for b in ends if b > a and abs(b - a - len(notice.phrase)) <= notice.edits
+                      for d in [edit_distance(words[a:b], notice.phrase)] if d <= notice.edits and (not d or licenses._fixed_kept(words[a:b], notice)))
+        want = []
+        for d, a, b in near:
+            if not d or all(b <= x or y <= a for _, x, y in want):
+                want.append((d, a, b))
+        got = licenses.spans_of(words, [notice], licenses._patterns([notice]))
+        assert sorted((edits, a, b) for _, a, b, edits in got) == want, words
+
+
 def test_url_rules_hosts_and_models(spark):
     rows = [(1, "http://a.NET/x"), (2, "https://example.net/en/1"), (3, "https://www.example.net/en/1"), (4, "http://example.com/de/?q"), (5, "http://Sub.Org/fr/a#b"), (6, "ftp://x.net"),
             (7, None), (8, ""), (9, "no scheme/net/"), (10, "http://badnet/x"), (11, "http://net/x?y"), (11, "http://net/x?y"), (12, "http://u@h:1/p;a?b://c")]
