@@ -127,9 +127,10 @@ def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, t
                      seed: int = 42, score_col: str = "anomaly_score", flag_col: str = "is_anomaly") -> DataFrame:
     """Score and flag of every row.
 
-    Every tree is grown by one task from at most ``sample`` hashed rows; the
-    forest (at most trees * 2 * sample small nodes) scores all rows in Arrow
-    batches.
+    Equal rows are counted, and each value is drawn in proportion to its count;
+    its copies are dealt over the trees by hash.  Every tree is grown by one task
+    from at most ``sample`` of them; the forest (at most trees * 2 * sample small
+    nodes) scores all rows in Arrow batches.
     """
     names = [c for c in chosen(df, columns, numeric_columns(df)) if is_numeric(df, c)]
     values = df.select(*[col(c).cast("double").alias(c) for c in names]).dropna()
@@ -140,11 +141,11 @@ def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, t
     # on average 1.3 * sample rows per tree are drawn, then cut to sample
     rate = min(trees * sample * 1.3 / count, float(trees))
 
-    def drawn_at(number):
-        """A draw from [0, 1) by the row's values, so that it doesn't depend on how rows are dealt."""
-        return F.pmod(F.xxhash64(*[col(c) for c in names], F.lit(seed), F.lit(number)), F.lit(1 << 53)) / float(1 << 53)
-
-    picked = values.withColumn("_n", (F.floor(F.lit(rate)) + (drawn_at(0) < rate - int(rate)).cast("long"))).where("_n > 0")
+    # a draw from [0, 1) by the value, so that it doesn't depend on how rows are dealt; a value with c rows is drawn
+    # rate * c times, rounded up or down by the draw so that this holds on average
+    chance = F.pmod(F.xxhash64(*[col(c) for c in names], F.lit(seed), F.lit(0)), F.lit(1 << 53)) / float(1 << 53)
+    picked = values.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_n", F.floor(F.lit(rate) * F.col("_c") + chance).cast("long")).where("_n > 0")
     drawn = picked.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn(
         "_h", F.xxhash64(*[col(c) for c in names], F.lit(seed), F.col("_d"))).withColumn(
         "_tree", F.pmod("_h", F.lit(trees)).cast("int"))

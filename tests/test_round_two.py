@@ -62,6 +62,26 @@ def test_forest_does_not_depend_on_partitions(spark):
     assert flagged[0] == flagged[1] and 7 in flagged[0]
 
 
+def test_forest_sees_few_and_hot_values(spark, monkeypatch):
+    forests = []
+    scorer = anomalies._scorer
+    monkeypatch.setattr(anomalies, "_scorer", lambda trees, sample: forests.append(trees) or scorer(trees, sample))
+    # a third of a million rows holds one value, the others hold 49, and one row is far away
+    df = spark.range(1_000_000).selectExpr("cast(CASE WHEN id = 5 THEN 100000 WHEN id % 3 = 0 THEN 7 ELSE 100 + id % 49 END AS double) AS x")
+    out = anomalies.isolation_forest(df, ["x"], contamination=0.01)
+    score = {r.x: r.s for r in out.groupBy("x").agg(F.first("anomaly_score").alias("s")).collect()}
+    assert len(forests[0]) == 100 and min(nodes[0][4] for nodes in forests[0]) > 200
+    assert len(score) == 51 and all(0 < s < 1 for s in score.values()) and score[100000.0] == max(score.values())
+    # rows that reach the leaf of the hot value
+    hot = []
+    for nodes in forests[0]:
+        at = 0
+        while nodes[at][0] >= 0:
+            at = nodes[at][2] if 7.0 < nodes[at][1] else nodes[at][3]
+        hot.append(nodes[at][4] / nodes[0][4])
+    assert 0.30 < sum(hot) / 100 < 0.40 and max(hot) < 0.6
+
+
 def test_sql_keeps_all_rows(spark):
     assert aggregate.sql_query(spark.range(150_000).toDF("i"), "SELECT i FROM df").count() == 150_000
 
