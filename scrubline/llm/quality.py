@@ -3,20 +3,24 @@
 The counts are those of the base rules.  The method compares a document's
 histograms of character classes and of common words with those of each language,
 gathered over all documents of that language, by Jensen-Shannon distance (base 2,
-0 to 1).  A document that is far from every language fails.  Short texts have no
-reliable histogram: below ``MIN_CHARS`` characters or ``MIN_WORDS`` words the
-respective histogram has no say.
+0 to 1).  Every language that a document is labelled with has a reference.  A
+document that is far from every language fails.  Short texts have no reliable
+histogram: below ``MIN_CHARS`` characters or ``MIN_WORDS`` words the respective
+histogram has no say, nor has any for documents whose own language has no reference.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
 from .common import free_name
 
-#: common words of the languages that have references (fixed values)
+#: common words of four languages (fixed values); those of any other are counted
 COMMON = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "with", "this", "was", "on"],
     "fr": ["le", "la", "les", "de", "des", "et", "un", "une", "du", "que", "pour", "dans"],
@@ -32,6 +36,17 @@ MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.29
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MIN_BASE_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 _PRIOR = 0.5
+#: most that the prior may add to all counts of a language, so that it doesn't drown a language of few documents
+_PRIOR_SHARE = 0.01
+#: common words that are counted for a language without fixed ones, and parts in which they are ranked first
+N_COMMON, _RANK_PARTS = 12, 64
+
+
+class References(NamedTuple):
+    """Class and common-word shares of each language, and the common words of all."""
+
+    words: list[str]
+    shares: dict[str, tuple[list[float], list[float]]]
 
 _WORD_SQL = ", ".join(f"'{w}'" for w in WORDS)
 _REPEATS = """CASE WHEN size({g}) = size(array_distinct({g})) THEN 0L ELSE
@@ -46,14 +61,39 @@ def _kept_chars(text: Column, kept: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
 
 
-def _common_counts(words: str) -> Column:
+def _common_counts(words: str, common: list[str]) -> Column:
     """Counts of the common words, then of all other words."""
-    found = f"filter({words}, x -> length(x) <= {max(map(len, WORDS))} AND lower(x) IN ({_WORD_SQL}))"
-    each = ", ".join(f"size(c) - size(array_remove(c, '{w}'))" for w in WORDS)
-    return F.expr(f"transform(array(transform({found}, x -> lower(x))), c -> array({each}, size({words}) - size(c)))[0]")
-
-
-def _measured(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    if common == WORDS:
+        found = f"filter({words}, x -> length(x) <= {max(map(len, WORDS))} AND lower(x) IN ({_WORD_SQL}))"
+        each = ", ".join(f"size(c) - size(array_remove(c, '{w}'))" for w in WORDS)
+        return F.expr(f"transform(array(transform({found}, x -> lower(x))), c -> array({each}, size({words}) - size(c)))[0]")
+    # counted words may hold any sign, so they are values instead of SQL text
+    found = F.transform(F.filter(F.col(words), lambda x: F.lower(x).isin(*common)), lambda x: F.lower(x))
+    each = F.array(*map(F.lit, common))
+    return F.transform(F.array(found), lambda c: F.concat(
+        F.transform(each, lambda w: F.size(c) - F.size(F.array_remove(c, w))), F.array(F.size(F.col(words)) - F.size(c))))[0]
+
+
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[str]:
+    """The fixed common words, and the ``N_COMMON`` most frequent ones of each other language of the table (equal counts: the word that sorts first).
+
+    Words are ranked in parts before they are ranked by language, so no task has
+    to take all words of a language.
+    """
+    lang = F.col(f"`{lang_col}`").cast("string")
+    others = docs.where(lang.isNotNull() & ~lang.isin(*COMMON))
+    if others.select(f"`{lang_col}`").isEmpty():
+        return WORDS
+    words = F.array_remove(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[\x20\x09-\x0D]+"), "")
+    counted = others.select(lang.alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(_RANK_PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "word"))
+        counted = counted.withColumn("rank", rank).where(F.col("rank") <= N_COMMON).drop("rank")
+    return sorted({*WORDS, *(r["word"] for r in counted.select("word").distinct().collect())})
+
+
+def _measured(docs: DataFrame, keep: list[str], text_col: str, common: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """The columns ``keep`` with the base counts and both histograms; names: what the new columns are called.
 
     Each count is a column of its own before others are made of it, so that
@@ -71,7 +111,7 @@ def _measured(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFram
     rows = rows.select(
         *own, F.size(c["w"]).cast("long").alias(names["n_words"]), F.char_length(F.array_join(c["w"], "")).cast("long").alias(names["word_chars"]),
         c["n"], c["n_dup_lines"], F.char_length(c["rest"]).cast("long").alias(names["rest"]), F.transform(c["w"], lambda x: F.xxhash64(x)).alias(names["h"]),
-        _common_counts(names["w"]).alias(names["common"]), _kept_chars(c["rest"], "#*$%&|<>").alias(names["n_symbols"]), _kept_chars(c["rest"], "A-Z").alias(names["upper"]),
+        _common_counts(names["w"], common).alias(names["common"]), _kept_chars(c["rest"], "#*$%&|<>").alias(names["n_symbols"]), _kept_chars(c["rest"], "A-Z").alias(names["upper"]),
         _kept_chars(c["rest"], r"\p{L}&&[^A-Z]").alias(names["other"]), _kept_chars(c["rest"], "0-9").alias(names["digit"]), _kept_chars(c["rest"], "=_{}~^+/@").alias(names["sign"]))
     h = names["h"]
     grams = f"transform(sequence(0, size({h}) - {WINDOW}), i -> xxhash64({', '.join(f'{h}[i + {j}]' for j in range(WINDOW))}))"
@@ -85,22 +125,27 @@ def _measured(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFram
     return rows.select(*own, *(repeats.alias(names[x]) if x == "n_repeat_words" else c[x] for x in BASE), c["n"], c["common"], c["classes"]), names
 
 
-def _summed(rows: DataFrame, names: dict[str, str], lang: str) -> dict[str, tuple[list[float], list[float]]]:
-    sums = [F.sum(F.col(names[kind])[i]).alias(f"{kind[1]}{i}") for kind, size in (("classes", 7), ("common", len(WORDS) + 1)) for i in range(size)]
+def _summed(rows: DataFrame, names: dict[str, str], lang: str, common: list[str]) -> References:
+    kinds = (("classes", 7), ("common", len(common) + 1))
+    sums = [F.sum(F.col(names[kind])[i]).alias(f"{kind[1]}{i}") for kind, size in kinds for i in range(size)]
     out = {}
-    for row in rows.where(F.col(f"`{lang}`").isin(*COMMON)).groupBy(F.col(f"`{lang}`").alias("lang")).agg(*sums).collect():
+    own = F.col(f"`{lang}`").cast("string")
+    for row in rows.where(own.isNotNull()).groupBy(own.alias("lang")).agg(*sums).collect():
         shares = []
-        for kind, size in (("classes", 7), ("common", len(WORDS) + 1)):
-            n = [row[f"{kind[1]}{i}"] + _PRIOR for i in range(size)]
-            shares.append([x / sum(n) for x in n])
-        out[row["lang"]] = (shares[0], shares[1])
-    return out
+        for kind, size in kinds:
+            n = [row[f"{kind[1]}{i}"] for i in range(size)]
+            prior = min(_PRIOR, _PRIOR_SHARE * sum(n) / size)
+            shares.append([(x + prior) / (sum(n) + prior * size) for x in n] if sum(n) else None)
+        if None not in shares:
+            out[row["lang"]] = (shares[0], shares[1])
+    return References(common, out)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Class and common-word shares of each language, summed over all its documents; at most one row for each language of ``COMMON``."""
-    rows, names = _measured(docs.where(F.col(f"`{lang_col}`").isin(*COMMON)), [lang_col], text_col)
-    return _summed(rows, names, lang_col)
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """Class and common-word shares of each language that has words, summed over all its documents."""
+    common = common_words(docs, text_col, lang_col)
+    rows, names = _measured(docs.where(F.col(f"`{lang_col}`").isNotNull()), [lang_col], text_col, common)
+    return _summed(rows, names, lang_col, common)
 
 
 def js_distance(counts: str, reference: list[float]) -> str:
@@ -112,11 +157,12 @@ def js_distance(counts: str, reference: list[float]) -> str:
     return f"transform(array({total}), t -> sqrt(greatest({summed}, 0D) / (2 * ln(2D))))[0]"
 
 
-def judge(docs: DataFrame, refs: dict | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, refs: References | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The table with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept.
 
     Distances are those from the nearest language; they are null for texts that
-    are too short, or if no language has a reference.  A null text has no words.
+    are too short, and if the document's own language has no reference (a null one
+    never has).  A null text has no words.
     A document without enough words, or with too many repeated ones, fails the
     base rules; one that is too far from every language fails the method.  Rows
     are judged one by one, texts are taken whole.  New columns give way to
@@ -124,14 +170,16 @@ def judge(docs: DataFrame, refs: dict | None = None, text_col: str = "text", lan
     empty result.
     """
     refs = references(docs, text_col, lang_col) if refs is None else refs
-    rows, names = _measured(docs, docs.columns, text_col)
-    return _judged(rows, names, docs.columns, refs)
+    rows, names = _measured(docs, docs.columns, text_col, refs.words)
+    return _judged(rows, names, docs.columns, refs, lang_col)
+
 
+def _judged(rows: DataFrame, names: dict[str, str], keep: list[str], refs: References, lang: str) -> DataFrame:
+    known = F.col(f"`{lang}`").cast("string").isin(*refs.shares)
 
-def _judged(rows: DataFrame, names: dict[str, str], keep: list[str], refs: dict) -> DataFrame:
     def nearest(counts: str, which: int, enough: Column) -> Column:
-        each = [F.expr(js_distance(counts, refs[lang][which])) for lang in sorted(refs)]
-        return F.when(enough, F.array_min(F.array(*each))) if each else F.lit(None).cast("double")
+        each = [F.expr(js_distance(counts, refs.shares[x][which])) for x in sorted(refs.shares)]
+        return F.when(enough & known, F.array_min(F.array(*each))) if each else F.lit(None).cast("double")
 
     out = {x: free_name(rows, x) for x in ("base_failed", "class_distance", "word_distance", "kept")}
     own = [F.col(f"`{x}`") for x in (*keep, *(names[b] for b in BASE))]
@@ -157,10 +205,12 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def document_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, counts, base_failed, distances, kept) for every row.
 
-    Texts are read once: their counts are cut to a table, which gives the
-    references and then the verdicts.
+    Texts are read once, those of languages without fixed common words once more
+    before: their counts are cut to a table, which gives the references and then
+    the verdicts.
     """
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows, names = _measured(narrow, ["id", "lang"], "text")
+    common = common_words(narrow)
+    rows, names = _measured(narrow, ["id", "lang"], "text", common)
     rows = cut(rows)
-    return _judged(rows, names, ["id", "lang"], _summed(rows, names, "lang")).drop("lang").withColumnRenamed("id", id_col)
+    return _judged(rows, names, ["id", "lang"], _summed(rows, names, "lang", common), "lang").drop("lang").withColumnRenamed("id", id_col)

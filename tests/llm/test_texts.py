@@ -336,3 +336,26 @@ def test_js_distance_and_rejection(spark):
     rows = [(i, t, "en") for i, t in enumerate(plain)] + [(99, " ".join(noise), "en")]
     got = {r["doc_id"]: r["kept"] for r in quality.document_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[99] and sum(got.values()) >= 38
+
+
+def test_quality_references_for_every_language(spark):
+    rng = random.Random(7)
+    vocabulary = {"en": "the of and to in is that", "it": "di che è il per non sono", "pl": "i w nie na się do jest", "el": "και το να του η της με", "o'x": "d'a \\'b ${c} #d"}
+
+    def text(lang, n):
+        return " ".join(rng.choice(vocabulary[lang].split()) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh" if lang != "el" else "αβγδεζηθ") for _ in range(6)) for _ in range(n))
+
+    rows = [(100 * k + i, text(lang, 200), lang) for k, lang in enumerate(vocabulary) for i in range(20)]
+    noise = " ".join("".join(rng.choice("0123456789ABCDEF#|{}") for _ in range(9)) for _ in range(200))
+    rows += [(900, text("pl", 139), "single"), (901, text("it", 139), None), (902, noise, "en"), (903, noise, "it"), (904, "", "empty"), (905, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(df)
+    assert set(refs.shares) == {*vocabulary, "single"} and {"che", "się", "και", "${c}", "\\'b", "the"} <= set(refs.words)
+    assert all(abs(sum(x) - 1) < 1e-9 and min(x) > 0 for pair in refs.shares.values() for x in pair)
+    got = {r["doc_id"]: r for r in quality.document_quality(df).collect()}
+    assert all(got[r[0]]["kept"] for r in rows if r[0] < 902), [r for r in got.values() if not r["kept"]]
+    assert got[901]["word_distance"] is None and got[901]["class_distance"] is None and got[900]["word_distance"] < 0.1
+    assert [got[i]["kept"] for i in (902, 903, 904, 905)] == [False] * 4
+    assert {r["doc_id"] for r in quality.kept_documents(df).collect()} == {i for i, r in got.items() if r["kept"]}
+    four = df.where("lang IN ('en', 'de') OR lang IS NULL")
+    assert quality.common_words(four) == quality.WORDS
