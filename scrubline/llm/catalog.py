@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, neardup, pieces, quality, tokens, topk, urls
+from . import chat, codes, language, licenses, mixing, neardup, negatives, packing, pieces, quality, tokens, topk, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,54 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """)
 def exact_topk(spark, folder):
     return topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = [f"""
+WITH v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[len(v) * part // {parts} + 1:len(v) * (part + 1) // {parts}] AS x FROM v, range({parts}) AS t(part)),
+c0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS entry, x FROM p QUALIFY entry < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT p.vec_id, any_value(p.label) AS label, p.part, any_value(p.x) AS x,
+    min({{'d': CAST(list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, c.x) + list_dot_product(c.x, c.x) AS BIGINT), 'e': c.entry}}) AS best
+  FROM p JOIN c{k} c ON c.part = p.part GROUP BY p.vec_id, p.part)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+  SELECT part, entry, pos, floor(sum(x) / count(*)) AS x FROM (SELECT part, best.e AS entry, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM a{k}) GROUP BY ALL),
+n{k} AS (SELECT part, entry, list(x ORDER BY pos) AS x FROM s{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c{k} c LEFT JOIN n{k} n ON n.part = c.part AND n.entry = c.entry)""")
+    return ",\n".join(steps) + f""",
+r AS (SELECT vec_id, any_value(label) AS label, string_agg(lower(format('{{:02x}}', best.e)), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda i: CAST(CAST(i AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r, h"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def vector_codes(spark, folder):
+    return codes.vector_codes(table(spark, folder, "embeddings"))
+
+
+@query("op12_hard_negatives", r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+""")
+def hard_negatives(spark, folder):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query("op13_curve_packing")
+def curve_packing(spark, folder):
+    return packing.packed_pieces(table(spark, folder, "documents"))
