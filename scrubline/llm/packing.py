@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ MAX_TOKENS = 4096
 HASHED, DIMS, BITS = 256, 4, 15
 #: documents that set the boundaries, per range; ids that make a range worth having
 SAMPLE_PER_RANGE, RANGE_TOKENS = 64, 1 << 19
-#: chunks and words whose ids a worker remembers, in each of two generations
-KEPT = 200_000
+#: chunks, and words within chunks, whose ids a worker remembers, in each of two generations
+CHUNKS_KEPT, WORDS_KEPT = 400_000, 150_000
 #: texts that are encoded at once
 _ROWS = 256
 
@@ -52,22 +53,15 @@ class Remembered:
     def __init__(self, size: int):
         self.size, self.new, self.old = size, {}, {}
 
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
+    def put(self, key, value):
         if len(self.new) >= self.size:
             self.old, self.new = self.new, {}
         self.new[key] = value
+        return value
 
 
 class Ids:
-    """Ids of whole texts as the library gives them, without special tokens added, packed little-endian."""
+    """Ids of whole texts as the library gives them, without special tokens added, packed in two or four bytes each."""
 
     loaded: dict = {}
 
@@ -88,7 +82,8 @@ class Ids:
 
         self.library = Tokenizer.from_buffer(data)
         self.model = self.library.model
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.kind = np.dtype(np.uint16 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         spec = json.loads(data)
         cut = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         added = spec.get("added_tokens") or []
@@ -97,9 +92,10 @@ class Ids:
                          and cut[0].get("behavior") == "Removed" and cut[0].get("invert") and cut[1].get("type") == "ByteLevel"
                          and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
                          and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or a["content"].split() != [a["content"]] for a in added))
-        self.special = re.compile("|".join(re.escape(a["content"]) for a in added) or r"(?!)").search
-        # what the pattern does within ASCII and the letters of Latin-1, where lower-casing is plain and NFC changes nothing
-        self.plain = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+        # what the pattern does within ASCII and the letters of Latin-1, where lower-casing is plain and NFC changes nothing;
+        # without the signs that special strings begin with
+        special = "".join(re.escape(x) for x in {a["content"][:1] for a in added}) or "\x00"
+        self.plain = re.compile(f"(?:(?![{special}])[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]){{1,256}}").fullmatch
         self.words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
         self.odd_blank = re.compile("[\x1c-\x1f]").search
         self.blanks = re.compile(r"[^\S\x1c-\x1f]+")
@@ -107,27 +103,28 @@ class Ids:
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}
         other = iter(range(256, 512))
         self.sign = [chr(b) if b in own else chr(next(other)) for b in range(256)]
-        self.chunks, self.parts = Remembered(KEPT), Remembered(KEPT)
+        self.chunks, self.parts = Remembered(CHUNKS_KEPT), Remembered(WORDS_KEPT)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
+        found = self.chunks.old.get(chunk)
         if found is None:
-            if len(chunk) <= 256 and self.plain(chunk) and not self.special(chunk):
-                found = b"".join(map(self._word, self.words(chunk.lower())))
+            if self.plain(chunk):
+                low = chunk.lower()
+                found = self._word(low) if low.isalpha() else b"".join([self._word(w) for w in self.words(low)])
             else:
                 found = self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
-            if len(chunk) <= 64:
-                self.chunks.put(chunk, found)
-        return found
+        return self.chunks.put(chunk, found) if len(chunk) <= 64 else found
 
     def _word(self, word: str) -> bytes:
-        found = self.parts.get(word)
+        found = self.parts.new.get(word)
         if found is None:
-            signs = word if word.isascii() else "".join([self.sign[b] for b in word.encode()])
-            found = self._packed([t.id for t in self.model.tokenize(signs)])
+            found = self.parts.old.get(word)
+            if found is None:
+                signs = word if word.isascii() else "".join([self.sign[b] for b in word.encode()])
+                found = self._packed([t.id for t in self.model.tokenize(signs)])
             self.parts.put(word, found)
         return found
 
