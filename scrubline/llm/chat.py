@@ -98,7 +98,7 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE, id_col: str =
 def read_back(formatted: Column, template: Template = TEMPLATE) -> Column:
     """array<struct<role, text>> of a formatted conversation."""
     parts = F.split(formatted, re.escape(template.close) + "\n")
-    turn = rf"(?s)^{re.escape(template.open)} ((?:[^:\\]|\\.)*): (.*)$"
+    turn = rf"(?s)^{re.escape(template.open)} ((?:[^:\\]++|\\.)*+): (.*)$"
     roles = _map([(label, role) for role, label in template.labels.items()])
 
     def read(part):
