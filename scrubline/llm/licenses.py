@@ -11,9 +11,9 @@ have to be there unchanged.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,13 +96,14 @@ def spans_of(words: str, notices, patterns) -> list[tuple]:
                 if m:
                     near.append((sum(m.fuzzy_counts), a, b))
         out += [(notice, a, b, 0) for a, b in exact]
-        taken = sorted(exact)
-        for edits, a, b in sorted(near):
-            i = bisect_left(taken, (a, b))
-            # places that are taken don't overlap, but for exact ones, of which none holds another
-            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
-                taken.insert(i, (a, b))
-                out.append((notice, a, b, edits))
+        if near:
+            covered = bytearray(len(words))
+            for a, b in exact:
+                covered[a:b] = b"\x01" * (b - a)
+            for edits, a, b in sorted(near):
+                if covered.find(1, a, b) < 0:
+                    covered[a:b] = b"\x01" * (b - a)
+                    out.append((notice, a, b, edits))
     return out
 
 
@@ -124,10 +125,12 @@ def _scan(notices):
                 joined, spans = b" ".join(raw), []
                 if any(s in joined for s in seeds):
                     words = joined.decode("utf-8", "surrogatepass")
-                    for notice, a, b, edits in spans_of(words, notices, patterns):
+                    places = spans_of(words, notices, patterns)
+                    blanks = np.flatnonzero(np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32) == 32) if places else None
+                    for notice, a, b, edits in places:
                         found = words[a:b]
                         spans.append({
-                            "label": notice.label, "base": notice.base, "first_word": words.count(" ", 0, a), "n_words": found.count(" ") + 1,
+                            "label": notice.label, "base": notice.base, "first_word": int(np.searchsorted(blanks, a)), "n_words": found.count(" ") + 1,
                             "edits": edits, "score": 1.0 - edits / len(notice.phrase), "text": found})
                 out["spans"].append(sorted(spans, key=lambda s: (s["first_word"], s["n_words"], s["label"])))
             out["id"] = batch.column(0)
