@@ -27,8 +27,10 @@ from pyspark.sql import types as T
 from .common import default_path, free_name, map_batches, shared_bytes, text_of
 from .pieces import BLANK, Pieces
 
-#: words that a task counts, or a worker remembers, before it writes or clears them
+#: words that a task counts before it writes them
 WORDS_KEPT = 200_000
+#: words whose likelihoods a worker remembers, in each of two generations
+REMEMBERED = 200_000
 #: texts that are taken apart at once
 _ROWS = 500
 #: characters of the words of one lattice; a longer word has one for itself
@@ -224,22 +226,35 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
         pieces = Pieces.load(model.value)
         p = np.ascontiguousarray(fitted.value.T)
         known: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
+        older: dict[str, int] = {}
+        table = older_table = np.zeros((0, len(langs)))
 
-        def learn(new: list[str]):
+        def keep(words: list[str], rows: np.ndarray):
             nonlocal table
-            new.sort(key=len)
+            n = len(known)
+            if n + len(words) > len(table):
+                grown = np.empty((max(2 * len(table), n + len(words)), len(langs)))
+                grown[:n] = table[:n]
+                table = grown
+            table[n:n + len(words)] = rows
+            known.update(zip(words, range(n, n + len(words)), strict=True))
+
+        def learn(wanted: list[str]):
+            again = [w for w in wanted if w in older]
+            if again:
+                keep(again, older_table[[older[w] for w in again]])
+            new = sorted((w for w in wanted if w not in older), key=len)
             words = [BLANK + w for w in new]
             for first, end in _slices(words):
                 lattice = Lattices(pieces, words[first:end])
-                known.update(zip(new[first:end], range(len(known), len(known) + end - first), strict=True))
-                table = np.concatenate([table, lattice.log_sums(p[lattice.ids])])
+                keep(new[first:end], lattice.log_sums(p[lattice.ids]))
 
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(first, _ROWS)
-                if len(known) > WORDS_KEPT:
-                    known, table = {}, np.zeros((0, len(langs)))
+                if len(known) > REMEMBERED:
+                    # what is used again comes back from the older generation
+                    older, older_table, known, table = known, table, {}, np.zeros((0, len(langs)))
                 counted = [Counter(t.split()) if t and langs and any(map(str.isalpha, t)) else None for t in batch.column(text_at).to_pylist()]
                 learn(list(dict.fromkeys(w for c in counted if c for w in c if w not in known)))
                 pred, score = [], []
