@@ -37,8 +37,8 @@ from .common import default_path, free_name, map_batches, shared_bytes, text_of
 BLANK = "▁"
 #: what an unknown character's score is below the lowest piece score (the library's value)
 UNKNOWN_PENALTY = 10.0
-#: chunks that a worker remembers, and how long a remembered one may be
-CHUNKS_KEPT, CHUNK_CHARS = 300_000, 64
+#: chunks that a worker remembers in each of two generations, and how long a remembered one may be
+CHUNKS_KEPT, CHUNK_CHARS = 200_000, 64
 
 #: admitted and other pairs that a worker remembers
 PAIRS_KEPT = 500_000
@@ -62,6 +62,7 @@ class Pieces:
     dummy_prefix: bool
     size: int
     memo: dict
+    older: dict
     pairs: dict
 
     @staticmethod
@@ -107,7 +108,7 @@ class Pieces:
         automaton.make_automaton()
         ranks = {p.piece: p.score for p in model.pieces if p.type == NORMAL} if kind == MERGES else None
         return Pieces(automaton, frozenset(singles), min(normal) - UNKNOWN_PENALTY, ranks, bytes_of, byte_ids,
-                      model.normalizer_spec.add_dummy_prefix, len(model.pieces), {}, {})
+                      model.normalizer_spec.add_dummy_prefix, len(model.pieces), {}, {}, {})
 
     def admitted(self, before: str, piece: str) -> bool:
         """Whether merging by rank keeps the border between two pieces; ``before`` is empty at a chunk's start."""
@@ -182,9 +183,10 @@ class Pieces:
         return self._encode(text, self.dummy_prefix)
 
     def _encode(self, text: str, prefix: bool) -> list[int]:
-        memo = self.memo
-        if len(memo) > CHUNKS_KEPT:
-            memo.clear()
+        if len(self.memo) > CHUNKS_KEPT:
+            # what is used again comes back from the older generation
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         chunks = (" " + text if prefix else text).split(" ")
         out: list[tuple[int, ...]] = []
         blanks = 0
@@ -199,7 +201,9 @@ class Pieces:
                 continue
             ids = memo.get(chunk)
             if ids is None:
-                ids = self.best(chunk)
+                ids = older.get(chunk)
+                if ids is None:
+                    ids = self.best(chunk)
                 if len(chunk) <= CHUNK_CHARS:
                     memo[chunk] = ids
             out.append(ids)
