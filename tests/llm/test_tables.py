@@ -200,6 +200,26 @@ def test_large_components_stay_exact():
     assert got[2] == [3_000_000_003_000_000_005 - 0, 3_000_000_000_000_000_007]
 
 
+def test_bounds_eliminate_where_vectors_cluster():
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-300, 300, (40, 16))
+    c = centres[rng.integers(0, 40, 6000)] + rng.integers(-4, 5, (6000, 16))
+    seen = []
+    got = topk.block_topk(np.arange(64), c[:64], np.arange(6000), c, centres[:32].astype(float), 20, seen)
+    evaluated, pairs = np.sum(seen, axis=0)
+    assert evaluated < 0.2 * pairs
+    scores = c[:64] @ c.T
+    np.fill_diagonal(scores[:, :64], -(10 ** 12))
+    for i in range(64):
+        best = np.lexsort((np.arange(6000), -scores[i]))[:20]
+        assert got[1][20 * i:20 * i + 20] == best.tolist() and got[2][20 * i:20 * i + 20] == scores[i][best].tolist()
+
+
+def test_huge_components_take_no_part(spark):
+    df = spark.createDataFrame([(20, [1e17, 1.0]), (40, [1e300, 1.0]), (60, [1.0, 2.0]), (61, [2.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in topk.search(df, F.col("vec_id") % 20 == 0).collect()] == [(60, 61, 6 * 64 * 64)]
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_queries_equal_their_sql(spark, name):
     from oracle import check, duck
