@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core import as_list
+from . import delimited
 
 # --- fixed values ------------------------------------------------------------
 DELIMITERS = [",", ";", "\t", "|"]
@@ -42,26 +43,39 @@ def find_encoding(spark: SparkSession, paths, encodings=None) -> str:
 
 
 def read_delimited(spark: SparkSession, paths, delimiter: str | None = None, encoding: str | None = None, schema=None,
-                   keep_corrupt: bool = False, header: bool = True, multi_line: bool = True) -> DataFrame:
+                   keep_corrupt: bool = False, header: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV, TSV or TXT as text columns (or with a schema); no inference pass over the data.
 
-    Quoted values may hold delimiters, doubled quotes and line breaks.  For line
-    breaks a file is read by one task; files known to have none can be split with
-    ``multi_line=False``.  ``encoding="auto"`` takes the first of ``ENCODINGS`` that fits.
+    Quoted values may hold delimiters, doubled quotes and line breaks.  Files are
+    split among tasks in either case: one pass finds out which splits start inside
+    quotes (``delimited``), and if none does, and no record runs over a line, the
+    lines are parsed as they are.  Compressed files, and encodings whose line breaks
+    are not the byte 10, are read whole by one task each, as ``multi_line=True`` has
+    it; ``multi_line=False`` takes every line for a record and spares the pass.
+    Lines end in a line feed, with or without a carriage return before it.
+    ``encoding="auto"`` takes the first of ``ENCODINGS`` that fits.
     """
     paths = as_list(paths)
     if encoding == "auto":
         encoding = find_encoding(spark, paths)
     mark = delimiter or sniff_delimiter(spark, paths, encoding)
-    reader = spark.read.option("header", header).option("sep", mark).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
-    if encoding:
-        reader = reader.option("encoding", encoding)
-    if schema is not None:
-        if keep_corrupt:
-            schema = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-            reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-        reader = reader.schema(schema)
-    return reader.csv(paths)
+    options = {"sep": mark, "mode": "PERMISSIVE", "escape": '"'}
+    if schema is not None and keep_corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        options["columnNameOfCorruptRecord"] = CORRUPT
+
+    def plain(lines: bool) -> DataFrame:
+        reader = spark.read.options(**options).option("header", header).option("multiLine", lines)
+        reader = reader.option("encoding", encoding) if encoding else reader
+        return (reader.schema(schema) if schema is not None else reader).csv(paths)
+
+    if multi_line is not None or len(mark) != 1 or not delimited.can_split(encoding, [f for p in paths for f in ([p] if "." in p.rsplit("/", 1)[-1] else spark.read.text(p).inputFiles())]):
+        return plain(multi_line is None or multi_line)
+    lines = delimited._lines(spark, paths, encoding, mark)
+    if lines.where("opens").isEmpty():
+        return plain(False)
+    start, _ = delimited.split_states(lines)
+    return delimited.parsed(delimited.records(lines, start), plain(True).schema, options, header)
 
 
 def flatten_structs(df: DataFrame, separator: str = "_") -> DataFrame:
