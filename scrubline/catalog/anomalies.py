@@ -47,10 +47,12 @@ def cluster_anomalies(t):
 
 @query("text_anomalies", r"""
 WITH m AS (SELECT avg(length(text)) AS a, stddev_samp(length(text)) AS s FROM conversations), c AS (
-SELECT count(*) AS n, count_if(abs((length(text) - a) / s) > 2) AS l, count_if(regexp_matches(text, '(?i)[<>"'']|test|fake|sample')) AS x FROM conversations, m)
-SELECT 'text' AS "column", type, count FROM (SELECT 'unusual_length' AS type, CASE WHEN l < n * 0.1 THEN l ELSE 0 END AS count FROM c UNION ALL SELECT 'suspicious_content', x FROM c) WHERE count > 0""")
+SELECT count(*) AS n, count_if(abs((length(text) - a) / s) > 2) AS l, count_if(regexp_matches(text, '(?i)[<>"'']|test|fake|sample')) AS x,
+  count_if(len(list_filter(range(1, length(text) // 4 + 1), lambda i: starts_with(text, repeat(left(text, i), 4)) AND NOT contains(left(text, i), chr(10)))) > 0) AS r FROM conversations, m)
+SELECT 'text' AS "column", type, count FROM (SELECT 'unusual_length' AS type, CASE WHEN l < n * 0.1 THEN l ELSE 0 END AS count FROM c
+  UNION ALL SELECT 'suspicious_content', x FROM c UNION ALL SELECT 'repeated_pattern', r FROM c) WHERE count > 0""")
 def text_anomalies(t):
-    return anomalies.text_anomalies(t.conversations, "text").where("type <> 'repeated_pattern'")
+    return anomalies.text_anomalies(t.conversations, "text")
 
 
 @query("text_anomalies_repeats")

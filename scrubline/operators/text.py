@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -131,7 +133,7 @@ def normalize_unicode(df: DataFrame, column=None) -> DataFrame:
     return _each(df, column, tx.strip_accents)
 
 
-_MAX_FORMS = 30  # a column with more normal forms is not a category column
+MAX_FORMS = 30  # a column with more normal forms is not taken for a category column
 
 
 def _canonical(df: DataFrame, name: str) -> DataFrame:
@@ -144,16 +146,31 @@ def _canonical(df: DataFrame, name: str) -> DataFrame:
 
 
 @action("normalise_categories")
-def normalise_categories(df: DataFrame, columns=None) -> DataFrame:
-    """Map spelling variants to the most frequent one, for columns with 2 to 30 normal forms."""
+def normalise_categories(df: DataFrame, columns=None, max_forms: int | None = MAX_FORMS) -> DataFrame:
+    """Map spelling variants to the most frequent one, for columns with 2 to ``max_forms`` normal forms.
+
+    Columns with more are left as they are, with a warning that names them.
+    Without a limit (None) every column is mapped, by a join with its normal forms.
+    """
     names = [c for c in chosen(df, columns, string_columns(df)) if is_string(df, c)]
-    exprs = {}
+    if max_forms is None:
+        out = df
+        for name in names:
+            best = _canonical(df, name).select(F.col("key").alias("_key"), F.col("best").alias("_best"))
+            joined = out.join(best, tx.clean_key(col(name)) == F.col("_key"), "left")
+            out = joined.select(*[F.coalesce("_best", col(c)).alias(c) if c == name else col(c) for c in df.columns])
+        return out
+    exprs, left = {}, []
     for name in names:
-        found = _canonical(df, name).limit(_MAX_FORMS + 1).collect()
-        if not 2 <= len(found) <= _MAX_FORMS or all(r.spellings == 1 for r in found):
+        found = _canonical(df, name).limit(max_forms + 1).collect()
+        if len(found) > max_forms:
+            left.append(name)
+        if not 2 <= len(found) <= max_forms or all(r.spellings == 1 for r in found):
             continue
         table = F.create_map(*[F.lit(x) for r in found for x in (r.key, r.best)])
         exprs[name] = F.try_element_at(table, tx.clean_key(col(name)))
+    if left:
+        logging.getLogger(__name__).warning("more than %d normal forms, left as they are: %s", max_forms, ", ".join(left))
     return with_exprs(df, exprs)
 
 
