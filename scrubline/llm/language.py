@@ -69,6 +69,66 @@ def _numbered(pieces: Pieces):
     return _NUMBERED[id(pieces)]
 
 
+_PARTED: dict = {}
+
+
+def _runs_of(pieces: Pieces):
+    """A function that cuts a word into what its lattice falls into.
+
+    If no piece of the vocabulary holds a letter next to another sign, every way
+    through a word passes the border between a run of letters and what follows, so
+    its sum is the product of the sums over its runs; the first run has the blank.
+    Else, and with a blank sign inside, a word is one run.
+    """
+    import regex
+
+    runs = regex.compile(r"\p{L}+|\P{L}+").findall
+    if id(pieces) not in _PARTED:
+        _PARTED[id(pieces)] = all(len(runs(p.lstrip(BLANK))) < 2 for p, _ in pieces.automaton.items())
+    parted = _PARTED[id(pieces)]
+
+    def cut(word: str) -> list[str]:
+        found = [word] if not parted or word.isalpha() or BLANK in word else runs(word)
+        found[0] = BLANK + found[0]
+        return found
+
+    return cut
+
+
+class Remembered:
+    """Rows of numbers by key, in two generations: what is used again comes back from the older one."""
+
+    def __init__(self, width: int, size: int):
+        self.size, self.place, self.older = size, {}, {}
+        self.rows = self.older_rows = np.zeros((0, width))
+
+    def turn(self) -> None:
+        if len(self.place) > self.size:
+            self.older, self.older_rows = self.place, self.rows
+            self.place, self.rows = {}, np.zeros((0, self.rows.shape[1]))
+
+    def put(self, keys: list[str], rows: np.ndarray) -> None:
+        n = len(self.place)
+        if n + len(keys) > len(self.rows):
+            grown = np.empty((max(2 * len(self.rows), n + len(keys)), self.rows.shape[1]))
+            grown[:n] = self.rows[:n]
+            self.rows = grown
+        self.rows[n:n + len(keys)] = rows
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def missing(self, keys) -> list[str]:
+        """Distinct keys without a row, shortest first."""
+        unknown = [k for k in keys if k not in self.place]
+        again = [k for k in unknown if k in self.older]
+        if again:
+            self.put(again, self.older_rows[[self.older[k] for k in again]])
+        return sorted((k for k in unknown if k not in self.older), key=len)
+
+    def of(self, keys) -> np.ndarray:
+        place = self.place
+        return self.rows[[place[k] for k in keys]]
+
+
 class Lattices:
     """Edges of the segmentation lattices of many words, sorted for level-by-level sums."""
 
@@ -161,23 +221,33 @@ class Lattices:
         return share
 
 
-def _word_counts(batches):
-    """(language, word) counts of what a task reads; column 0: language, column 1: text."""
-    found: dict[str, Counter] = {}
+def _word_counts(model):
+    """(language, run) counts of what a task reads; column 0: language, column 1: text."""
+
+    def run(batches):
+        cut = _runs_of(Pieces.load(model.value))
+        found: dict[str, Counter] = {}
+
+        def close():
+            runs: dict[str, Counter] = {}
+            for lang, words in found.items():
+                here = runs[lang] = Counter()
+                for word, n in words.items():
+                    for part in cut(word):
+                        here[part] += n
+            found.clear()
+            return {"lang": [k for k, c in runs.items() for _ in c], "word": [w for c in runs.values() for w in c], "n": [n for c in runs.values() for n in c.values()]}
 
-    def close():
-        out = {"lang": [k for k, c in found.items() for _ in c], "word": [w for c in found.values() for w in c], "n": [n for c in found.values() for n in c.values()]}
-        found.clear()
-        return out
+        for whole in batches:
+            for first in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(first, _ROWS)
+                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    found.setdefault(lang, Counter()).update(text.split())
+                if sum(map(len, found.values())) > WORDS_KEPT:
+                    yield close()
+        yield close()
 
-    for whole in batches:
-        for first in range(0, whole.num_rows, _ROWS):
-            batch = whole.slice(first, _ROWS)
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, found.values())) > WORDS_KEPT:
-                yield close()
-    yield close()
+    return run
 
 
 def _expected(model, probabilities, langs: list[str]):
@@ -189,7 +259,7 @@ def _expected(model, probabilities, langs: list[str]):
         total = np.zeros((len(langs), pieces.size + 1), np.int64)
         for batch in batches:
             lang, word, n = (batch.column(i).to_pylist() for i in range(3))
-            words, lang, n = [BLANK + w for w in word], np.array([known[x] for x in lang], np.int64), np.array(n, np.float64)
+            words, lang, n = word, np.array([known[x] for x in lang], np.int64), np.array(n, np.float64)
             for first, end in _slices(words):
                 lattice = Lattices(pieces, words[first:end])
                 owner = lattice.owner_of[lattice.starts] + first
@@ -204,7 +274,7 @@ def _expected(model, probabilities, langs: list[str]):
 def fit(texts: DataFrame, model, steps: int = 1) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (languages, pieces + 1) from (lang, text); the last piece is any unknown character."""
     spark = texts.sparkSession
-    counted = map_batches(texts.select("lang", "text"), _word_counts, T.StructType([
+    counted = map_batches(texts.select("lang", "text"), _word_counts(model), T.StructType([
         T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs = sorted(r[0] for r in texts.select("lang").distinct().collect())
@@ -225,45 +295,35 @@ def _predictor(model, fitted, langs: list[str], text_at: int, names: list[str]):
     def run(batches):
         pieces = Pieces.load(model.value)
         p = np.ascontiguousarray(fitted.value.T)
-        known: dict[str, int] = {}
-        older: dict[str, int] = {}
-        table = older_table = np.zeros((0, len(langs)))
-
-        def keep(words: list[str], rows: np.ndarray):
-            nonlocal table
-            n = len(known)
-            if n + len(words) > len(table):
-                grown = np.empty((max(2 * len(table), n + len(words)), len(langs)))
-                grown[:n] = table[:n]
-                table = grown
-            table[n:n + len(words)] = rows
-            known.update(zip(words, range(n, n + len(words)), strict=True))
-
-        def learn(wanted: list[str]):
-            again = [w for w in wanted if w in older]
-            if again:
-                keep(again, older_table[[older[w] for w in again]])
-            new = sorted((w for w in wanted if w not in older), key=len)
-            words = [BLANK + w for w in new]
-            for first, end in _slices(words):
-                lattice = Lattices(pieces, words[first:end])
-                keep(new[first:end], lattice.log_sums(p[lattice.ids]))
+        cut = _runs_of(pieces)
+        known, parts = Remembered(len(langs), REMEMBERED), Remembered(len(langs), REMEMBERED)
+
+        def learn(wanted):
+            new = known.missing(wanted)
+            if not new:
+                return
+            parts.turn()
+            runs = [cut(w) for w in new]
+            fresh = parts.missing(dict.fromkeys(chain.from_iterable(runs)))
+            for first, end in _slices(fresh):
+                lattice = Lattices(pieces, fresh[first:end])
+                parts.put(fresh[first:end], lattice.log_sums(p[lattice.ids]))
+            starts = np.cumsum([0, *map(len, runs)])[:-1]
+            known.put(new, np.add.reduceat(parts.of(chain.from_iterable(runs)), starts, axis=0))
 
         for whole in batches:
             for first in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(first, _ROWS)
-                if len(known) > REMEMBERED:
-                    # what is used again comes back from the older generation
-                    older, older_table, known, table = known, table, {}, np.zeros((0, len(langs)))
+                known.turn()
                 counted = [Counter(t.split()) if t and langs and any(map(str.isalpha, t)) else None for t in batch.column(text_at).to_pylist()]
-                learn(list(dict.fromkeys(w for c in counted if c for w in c if w not in known)))
+                learn(dict.fromkeys(w for c in counted if c for w in c))
                 pred, score = [], []
                 for c in counted:
                     if not c:
                         pred.append("und")
                         score.append(0.0)
                         continue
-                    total = np.fromiter(c.values(), np.float64, len(c)) @ table[[known[w] for w in c]]
+                    total = np.fromiter(c.values(), np.float64, len(c)) @ known.of(c)
                     best = int(total.argmax())
                     pred.append(langs[best])
                     score.append(float(1.0 / np.exp(total - total[best]).sum()))

@@ -53,3 +53,17 @@ def test_languages_outlive_a_generation(spark, monkeypatch):
     want = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.document_languages(df).collect()}
     monkeypatch.setattr(language, "REMEMBERED", 3)
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.document_languages(df).collect()} == want
+
+
+def test_runs_give_the_sums_of_whole_words():
+    import numpy as np
+
+    with open(default_path("piece_bpe_32k.model"), "rb") as file:
+        model = pieces.Pieces.load(file.read())
+    rng = np.random.default_rng(4)
+    p = rng.random((model.size + 1, 3))
+    p /= p.sum(axis=0)
+    for word in ("plain", "Word,&&&", "l'été!", "3rd", "a-b-c", "12.5", "x²y", "日本語。テキスト", "a▁b,c", "...", "हिन्दी"):
+        whole = language.Lattices(model, [pieces.BLANK + word])
+        parts = language.Lattices(model, sorted(language._runs_of(model)(word), key=len))
+        assert np.allclose(parts.log_sums(p[parts.ids]).sum(axis=0), whole.log_sums(p[whole.ids])[0], rtol=1e-12), word
