@@ -11,6 +11,11 @@ With 45 bands of five a pair at the threshold of 0.75 is missed by the bands wit
 probability 5e-6 and by the estimate (cut at 0.58, five deviations below) with
 1e-7; more alike pairs less often.
 
+The two bits of 64 minima lie in two longs, one a plane, so that 64 minima are
+compared by two differences, one union and one count; no signature column holds
+nulls.  Both keep the generated method of the join by bucket small enough for the
+JVM to compile it.
+
 Documents of equal word sequences are one node from the start.  A bucket isn't
 expanded into its pairs: twice, each document is compared with one document of
 another component, the best by estimate among the most central ones of its
@@ -36,7 +41,7 @@ from pyspark.sql import types as T
 
 from ..plans.cut import cut
 from .common import map_batches, text_of
-from .graphs import components
+from .graphs import joined_by
 
 SHINGLE = 5
 MINIMA, BANDS, BAND_ROWS = 256, 45, 5
@@ -87,15 +92,21 @@ def minima(shingles: np.ndarray, count: int = MINIMA) -> np.ndarray:
 
 
 def _packed(least: np.ndarray) -> dict[str, pa.Array]:
-    """Two bits of each minimum, 32 of them in a long: columns s0, s1, ..."""
+    """Two bits of each minimum, one bit of 64 of them in a long: columns s0 and t0, s1 and t1, ..."""
     rows, count = least.shape
-    low = ((least.astype(np.uint64) * _MIX) >> np.uint64(62)).reshape(rows, count // 32, 32)
-    packed = (low << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-    return {f"s{i}": pa.array(np.ascontiguousarray(packed[:, i]).view(np.int64)) for i in range(count // 32)}
+    low = ((least.astype(np.uint64) * _MIX) >> np.uint64(62)).reshape(rows, count // 64, 64)
+    places = np.arange(64, dtype=np.uint64)
+    planes = {"s": low & np.uint64(1), "t": low >> np.uint64(1)}
+    packed = {plane: (bits << places).sum(axis=2, dtype=np.uint64) for plane, bits in planes.items()}
+    return {c: pa.array(np.ascontiguousarray(packed[c[0]][:, int(c[1:])]).view(np.int64)) for c in _columns(count)}
 
 
 def _columns(count: int) -> list[str]:
-    return [f"s{i}" for i in range(count // 32)]
+    return [f"{plane}{i}" for i in range(count // 64) for plane in "st"]
+
+
+def _fields(count: int) -> list[T.StructField]:
+    return [T.StructField(c, T.LongType(), False) for c in _columns(count)]
 
 
 def _signatures(batches):
@@ -129,11 +140,16 @@ def _long_signatures(batches):
 
 def estimate(left: str, right: str, count: int = MINIMA) -> Column:
     """Similarity of two packed signatures (column prefixes), corrected for chance equality of two bits."""
+    return ((1 - _different(left, right, 0, count) / count) - 0.25) / 0.75
+
+
+def _different(left: str, right: str, first: int, last: int) -> Column:
+    """How many of the minima first..last-1 differ in one of their two bits."""
     differ = F.lit(0)
-    for name in _columns(count):
-        x = F.col(f"{left}{name}").bitwiseXOR(F.col(f"{right}{name}"))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return ((1 - differ / count) - 0.25) / 0.75
+    for i in range(first // 64, last // 64):
+        s, t = (F.col(f"{left}{plane}{i}").bitwiseXOR(F.col(f"{right}{plane}{i}")) for plane in "st")
+        differ = differ + F.bit_count(s.bitwiseOR(t))
+    return differ
 
 
 def least_estimate(percent: int, count: int) -> float:
@@ -206,6 +222,8 @@ def _linked(percent: int):
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets are similar enough."""
     kind = pairs.schema["a"].dataType
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.join(paired, "id", "left_semi")
     with_sets = pairs.join(_prefixed(sets, "a_"), F.col("a") == F.col("a_id")).join(_prefixed(sets, "b_"), F.col("b") == F.col("b_id"))
     return map_batches(with_sets.select("a", "b", "a_shingles", "b_shingles"), _linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
@@ -232,8 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(docs, text_col).alias("text"))
     rows = cut(map_batches(narrow, _signatures, T.StructType([
-        T.StructField("id", kind), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        *(T.StructField(s, T.LongType()) for s in _columns(MINIMA))])))
+        T.StructField("id", kind), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType(), False), T.StructField("bands", T.ArrayType(T.LongType())),
+        *_fields(MINIMA)])))
 
     # equal word sequences: one node, named by its smallest id
     named = rows.where("n > 0 AND id IS NOT NULL")
@@ -248,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = many.groupBy("id").agg(F.sum("many").alias("weight"))
     pivots = cut(many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("top")).select("bucket", F.col("top.id").alias("b")))
     sets = cut(shingle_sets(narrow, many.select("id").distinct()))
-    links = held = joined = None
+    held = joined = None
     for _ in range(PIVOT_ROUNDS):
         if joined is None:
             first = many.join(pivots, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
@@ -256,9 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             there = pivots.join(joined, F.col("b") == F.col("node"), "left").select("bucket", "b", F.coalesce("component", "b").alias("other"))
             first = held.join(there, "bucket").where("component <> other").select(F.col("id").alias("a"), "b").distinct()
         first = _estimated(first, signed).where(_may_link("a_", "b_", percent)).groupBy("a").agg(F.max_by("b", F.struct(estimate("a_", "b_"), "b")).alias("b"))
-        more = cut(confirmed(first, sets, percent))
-        links = more if links is None else links.unionByName(more)
-        joined = components(links)
+        joined = joined_by(joined, confirmed(cut(first), sets, percent))
         held = many.join(joined, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
 
     # the rest: documents whose buckets hold several components
@@ -266,15 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = cut(held.join(mixed, "bucket", "left_semi"))
     ids = left.select("id").distinct()
     longer = map_batches(sets.join(ids, "id", "left_semi"), _long_signatures, T.StructType([
-        T.StructField("id", kind), *(T.StructField(s, T.LongType()) for s in _columns(LONG_MINIMA))]))
+        T.StructField("id", kind), *_fields(LONG_MINIMA)]))
     known = node.select("id", "n", "bands").join(ids, "id", "left_semi").join(longer, "id")
     here = left.join(known, "id")
     before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1)
     here = here.select("bucket", "id", "component", "n", before.alias("before"), *_columns(LONG_MINIMA))
     second = _prefixed(here, "a_").join(_prefixed(here, "b_"), (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
                                         & _may_link("a_", "b_", percent, LONG_MINIMA) & ~F.arrays_overlap("a_before", "b_before"))
-    second = second.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    joined = components(links.unionByName(confirmed(second, sets, percent)))
+    joined = joined_by(joined, confirmed(cut(second.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), sets, percent))
 
     of_node = nodes.join(joined.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left").select("key", F.coalesce("component", "node").alias("c"))
     by_key = rows.select("id", "key", "n").join(of_node, "key", "left")

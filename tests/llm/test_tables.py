@@ -97,6 +97,17 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert {got[i] for i in range(31)} == {0} and {got[100 + i] for i in range(20)} == {100} and {got[i] for i in (201, 202, 203)} == {201} and got[300] == 299
 
 
+def test_components_of_links_that_come_later(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    whole = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = None
+    for part in (links[:60], [], links[60:100], links[100:]):
+        found = graphs.joined_by(found, spark.createDataFrame(part, "a long, b long"))
+    rows = found.collect()
+    assert {r["node"]: r["component"] for r in rows} == whole and len(rows) == len(whole)
+
+
 def targets_by_hand(sizes, weights=(5, 2, 1)):
     """Share by weight, stop at three times the size, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
