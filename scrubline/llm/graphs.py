@@ -33,8 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
+    tasks = _tasks(links, state[0])
     while state[0]:
-        tasks = _tasks(links, state[0])
         edges = edges.coalesce(tasks)
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks).select("a", F.least("a", "m").alias("m"))
@@ -46,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         if before == state:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct().coalesce(tasks))
 
 
 def joined_by(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -63,4 +63,5 @@ def joined_by(found: DataFrame | None, links: DataFrame) -> DataFrame:
     new = cut(components(ends)).select(F.col("node").alias("n"), F.col("component").alias("c"))
     kept = found.join(new, F.col("component") == F.col("n"), "left").select("node", F.coalesce("c", "component").alias("component"))
     added = new.join(found, F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("c").alias("component"))
-    return cut(kept.unionByName(added))
+    tasks = _tasks(links, found.count() + new.count())
+    return cut(kept.coalesce(tasks).unionByName(added.coalesce(tasks)))

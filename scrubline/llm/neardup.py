@@ -222,7 +222,7 @@ def _linked(percent: int):
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets are similar enough."""
     kind = pairs.schema["a"].dataType
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    paired = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     sets = sets.join(paired, "id", "left_semi")
     with_sets = pairs.join(_prefixed(sets, "a_"), F.col("a") == F.col("a_id")).join(_prefixed(sets, "b_"), F.col("b") == F.col("b_id"))
     return map_batches(with_sets.select("a", "b", "a_shingles", "b_shingles"), _linked(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
