@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import anomalies, model
+from ..operators import anomalies, model, seasonal
 from .base import query
 from .missing import rounded
 
@@ -92,6 +92,19 @@ def timeseries_summary(t):
     return rounded(anomalies.timeseries_summary(daily, "day", "value"), "trend_slope")
 
 
+# robust local regression has no SQL form; tests/test_seasonal.py holds it against a sequential one
+@query("stl_anomalies")
+def stl_anomalies(t):
+    out = anomalies.timeseries_anomalies(t.events.select("event_id", "ts", "value"), ["ts", "event_id"], "value", 7, k=1.2, method="stl")
+    return rounded(out.select("event_id", "trend", "seasonal", "residual", "zscore"), "trend", "seasonal", "residual", "zscore")
+
+
+@query("stl_by_user")
+def stl_by_user(t):
+    out = seasonal.stl(t.events.select("event_id", "user_id", "ts", "value"), ["ts", "event_id"], "value", 7, "user_id")
+    return rounded(out.select("event_id", "user_id", "trend", "seasonal", "residual"), "trend", "seasonal", "residual")
+
+
 @query("rolling_zscore_anomalies", """
 WITH s AS (SELECT event_id, user_id, value, count(value) OVER w AS n, avg(value) OVER w AS a, stddev_samp(value) OVER w AS s FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING))

@@ -15,6 +15,7 @@ from ..plans.cut import cut
 from .ordered import over_rows, running
 from .profile import union_all
 from .rows import fences
+from .seasonal import stl
 
 
 def _outliers(df: DataFrame, limits: dict[str, tuple], method: str) -> DataFrame:
@@ -254,15 +255,24 @@ def decompose(df: DataFrame, order_by, value_col: str, period: int, partition_by
     return out.select(*[col(c) for c in df.columns], "_row", "trend", "seasonal", "residual")
 
 
+def _decomposed(df: DataFrame, order_by, value_col: str, period: int, partition_by, rows_per_bucket: int | None, method: str) -> DataFrame:
+    if method == "means":
+        return decompose(df, order_by, value_col, period, partition_by, rows_per_bucket)
+    if method == "stl":
+        return stl(df, order_by, value_col, period, partition_by, rows_per_bucket=rows_per_bucket).drop("weight")
+    raise ValueError(f"unknown decomposition: {method}")
+
+
 def timeseries_anomalies(df: DataFrame, order_by, value_col: str, period: int | None = None, partition_by=None,
-                         k: float = 3.0, rows_per_bucket: int | None = None) -> DataFrame:
+                         k: float = 3.0, rows_per_bucket: int | None = None, method: str = "means") -> DataFrame:
     """Rows whose residual leaves the k-IQR fence, with residual and z-score.
 
-    Trend and seasonal parts come from moving means, not from local regression.
+    Trend and seasonal parts come from moving means, or with ``method`` "stl" from
+    robust local regression, where a series without two whole periods has no anomalies.
     """
     period = period or infer_period(df, as_list(order_by)[0])
     # read four times below, after three shuffles
-    parts = cut(decompose(df, order_by, value_col, period, partition_by, rows_per_bucket))
+    parts = cut(_decomposed(df, order_by, value_col, period, partition_by, rows_per_bucket, method))
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
     std = moments(parts, {"r": F.col("residual")})["r"]["std"] or 1.0
     if q1 is None:
@@ -273,11 +283,13 @@ def timeseries_anomalies(df: DataFrame, order_by, value_col: str, period: int |
 
 
 def timeseries_summary(df: DataFrame, order_by, value_col: str, period: int | None = None, k: float = 3.0,
-                       rows_per_bucket: int | None = None) -> DataFrame:
+                       rows_per_bucket: int | None = None, method: str = "means") -> DataFrame:
     """One row: anomalies, their kind (level_shift, trending_anomaly, point_anomaly), severity, trend slope."""
     period = period or infer_period(df, as_list(order_by)[0])
-    parts = cut(decompose(df, order_by, value_col, period, None, rows_per_bucket))
+    parts = cut(_decomposed(df, order_by, value_col, period, None, rows_per_bucket, method))
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
+    if q1 is None:
+        q1 = q3 = float("nan")  # no row has a residual: no anomalies
     low, high = q1 - k * (q3 - q1), q3 + k * (q3 - q1)
     bad = (F.col("residual") < low) | (F.col("residual") > high)
     totals = parts.agg(F.count("*").alias("rows"), F.count_if(bad).alias("anomaly_count"),
