@@ -12,7 +12,8 @@ from ..functions.dates import as_timestamp
 from ..functions.numbers import to_number
 from ..functions.stats import moments, quantiles
 from ..plans.cut import cut
-from .ordered import over_rows, running
+from .chunks import MARKS, overlapping
+from .ordered import ROWS_PER_BUCKET, over_rows, running
 from .profile import union_all
 from .rows import fences
 from .seasonal import stl
@@ -243,10 +244,13 @@ def decompose(df: DataFrame, order_by, value_col: str, period: int, partition_by
     data = df.where(col(value_col).isNotNull())
     half = period // 2
     value = col(value_col).cast("double")
-    trended = over_rows(data, keys, order, half, half,
-                        lambda w: {"trend": F.avg(value).over(w.rowsBetween(-half, half))}, rows_per_bucket)
-    numbered = running(trended, keys, order, {"_row": ("count", F.lit(1))}, rows_per_bucket=rows_per_bucket)
-    phased = numbered.withColumn("_phase", F.pmod(F.col("_row") - 1, F.lit(period)))
+    numbered = running(data, keys, order, {"_row": ("count", F.lit(1))}, rows_per_bucket=rows_per_bucket)
+    width = max(rows_per_bucket or ROWS_PER_BUCKET, 10 * half)
+    copied = overlapping(numbered, keys, F.col("_row") - 1, width, half, [c for c in numbered.columns if c not in keys])
+    near = W.partitionBy(*[col(k) for k in keys], F.col("_chunk")).orderBy("_at").rowsBetween(-half, half)
+    trended = copied.withColumn("trend", F.avg(value).over(near)).where("_own").drop(*MARKS)
+    # read by the means and by the result
+    phased = cut(trended.withColumn("_phase", F.pmod(F.col("_row") - 1, F.lit(period))))
     means = phased.groupBy(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)], F.col("_phase").alias("_p")).agg(
         F.avg(value - F.col("trend")).alias("_s"))
     on = [F.col("_phase") == F.col("_p")] + [col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
@@ -256,10 +260,11 @@ def decompose(df: DataFrame, order_by, value_col: str, period: int, partition_by
 
 
 def _decomposed(df: DataFrame, order_by, value_col: str, period: int, partition_by, rows_per_bucket: int | None, method: str) -> DataFrame:
+    """Parts of the series, cut so that the statistics and the result may read them in turn."""
     if method == "means":
         return decompose(df, order_by, value_col, period, partition_by, rows_per_bucket)
     if method == "stl":
-        return stl(df, order_by, value_col, period, partition_by, rows_per_bucket=rows_per_bucket).drop("weight")
+        return stl(df, order_by, value_col, period, partition_by, rows_per_bucket=rows_per_bucket).drop("weight").transform(cut)
     raise ValueError(f"unknown decomposition: {method}")
 
 
@@ -271,8 +276,7 @@ def timeseries_anomalies(df: DataFrame, order_by, value_col: str, period: int |
     robust local regression, where a series without two whole periods has no anomalies.
     """
     period = period or infer_period(df, as_list(order_by)[0])
-    # read four times below, after three shuffles
-    parts = cut(_decomposed(df, order_by, value_col, period, partition_by, rows_per_bucket, method))
+    parts = _decomposed(df, order_by, value_col, period, partition_by, rows_per_bucket, method)
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
     std = moments(parts, {"r": F.col("residual")})["r"]["std"] or 1.0
     if q1 is None:
@@ -286,7 +290,7 @@ def timeseries_summary(df: DataFrame, order_by, value_col: str, period: int | No
                        rows_per_bucket: int | None = None, method: str = "means") -> DataFrame:
     """One row: anomalies, their kind (level_shift, trending_anomaly, point_anomaly), severity, trend slope."""
     period = period or infer_period(df, as_list(order_by)[0])
-    parts = cut(_decomposed(df, order_by, value_col, period, None, rows_per_bucket, method))
+    parts = _decomposed(df, order_by, value_col, period, None, rows_per_bucket, method)
     q1, q3 = quantiles(parts, {"r": F.col("residual")}, [0.25, 0.75])["r"]
     if q1 is None:
         q1 = q3 = float("nan")  # no row has a residual: no anomalies

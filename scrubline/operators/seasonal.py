@@ -14,6 +14,7 @@ found between two rounds, one number for each such series.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .ordered import running
 ROWS_PER_CHUNK = 100_000
 #: numbers in one matrix of windows
 WINDOW_CELLS = 1 << 21
+#: numbers in a matrix of windows that is remembered
+KNOWN_CELLS = 1 << 15
 
 # --- fixed values: the usual parameters of this decomposition --------------------
 SEASONAL = 7
@@ -51,52 +54,64 @@ def reach(period: int, seasonal: int, rounds: int) -> int:
     return rounds * ((seasonal // 2 + 1) * period + period + 2 + low // 2 + 1 + trend // 2 + 1)
 
 
-def _fit(y, where, left, span, total, weights):
-    """Local lines at the places ``where`` through the values ``left .. left + span`` of y."""
-    n = len(y)
+def _windows(n: int, span: int, start: int, stop: int, ends: bool):
+    """Places, and for each the rows of its window and their tricube weights."""
     used = min(span, n)
-    out = np.empty(len(where))
-    step = max(1, WINDOW_CELLS // used)
-    for a in range(0, len(where), step):
-        x, lo = where[a:a + step, None].astype(float), left[a:a + step, None]
-        index = lo + np.arange(used)
-        far = np.maximum(x - lo, lo + used - 1 - x)
-        if span > n:
-            far = far + (span - n) // 2
-        gap = np.abs(index - x)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            w = np.where(gap <= NEAR * far, 1.0, (1 - (gap / far) ** 3) ** 3)
-        w[gap > FAR * far] = 0.0
-        if weights is not None:
-            w = w * weights[index]
-        whole = w.sum(axis=1, keepdims=True)
+    if ends:
+        x, left = np.array([-1.0, n])[:, None], np.array([0, n - used])[:, None]
+    else:
+        x = np.arange(start, stop, dtype=float)[:, None]
+        left = np.clip(np.arange(start, stop) - span // 2, 0, n - used)[:, None]
+    index = left + np.arange(used)
+    far = np.maximum(x - left, left + used - 1 - x) + ((span - n) // 2 if span > n else 0)
+    gap = np.abs(index - x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        w = np.where(gap <= NEAR * far, 1.0, (1 - (gap / far) ** 3) ** 3)
+    w[gap > FAR * far] = 0.0
+    return x, index, w, far > 0
+
+
+#: windows of short series, which repeat in every round and from series to series
+_known_windows = lru_cache(maxsize=32)(_windows)
+
+
+def _fit(y, span, total, weights, ends=False):
+    """Local lines at every place of each row of y (with ``ends``: one place before and one after); NaN where all weights are 0."""
+    m, n = y.shape
+    used, places = min(span, n), 2 if ends else n
+    find = _known_windows if places * used <= KNOWN_CELLS else _windows
+    step = max(1, WINDOW_CELLS // (used * m))
+    out = np.empty((m, places))
+    for a in range(0, places, step) if not ends else (0,):
+        b = places if ends else min(places, a + step)
+        x, index, base, wide = find(n, span, a, b, ends)
+        w = base[None] if weights is None else base * weights[:, index]
+        whole = w.sum(axis=2, keepdims=True)
         some = whole > 0
         w = w / np.where(some, whole, 1.0)
-        centre = (w * index).sum(axis=1, keepdims=True)
-        spread = (w * (index - centre) ** 2).sum(axis=1, keepdims=True)
-        sloped = (far > 0) & (np.sqrt(spread) > FLAT * (total - 1))
+        centre = (w * index).sum(axis=2, keepdims=True)
+        off = index - centre
+        spread = (w * off * off).sum(axis=2, keepdims=True)
+        sloped = wide & (np.sqrt(spread) > FLAT * (total - 1))
         slope = np.where(sloped, (x - centre) / np.where(sloped, spread, 1.0), 0.0)
-        fitted = (w * (slope * (index - centre) + 1) * y[index]).sum(axis=1)
-        out[a:a + step] = np.where(some[:, 0], fitted, np.nan)
+        fitted = (w * (slope * off + 1) * y[:, index]).sum(axis=2)
+        out[:, a:b] = np.where(some[:, :, 0], fitted, np.nan)
     return out
 
 
 def smooth(y, span, total, weights=None, beyond=False):
-    """Local regression at every place of y; with ``beyond`` also one place before and one after.
+    """Local regression at every place of each row of y; with ``beyond`` also one place before and one after.
 
     ``total`` is the length of the whole series, of which y may be a part.  A
     place where all weights are 0 keeps its value (beyond: its neighbour's).
     """
-    n = len(y)
-    places = np.arange(n)
-    left = np.clip(places - span // 2, 0, max(0, n - span))
-    out = _fit(y, places, left, span, total, weights)
+    out = _fit(y, span, total, weights)
     out = np.where(np.isnan(out), y, out)
     if not beyond:
         return out
-    ends = _fit(y, np.array([-1, n]), np.array([0, max(0, n - span)]), span, total, weights)
-    ends = np.where(np.isnan(ends), out[[0, -1]], ends)
-    return np.concatenate([ends[:1], out, ends[1:]])
+    ends = _fit(y, span, total, weights, ends=True)
+    ends = np.where(np.isnan(ends), out[:, [0, -1]], ends)
+    return np.hstack([ends[:, :1], out, ends[:, 1:]])
 
 
 def _means(y, span):
@@ -104,6 +119,12 @@ def _means(y, span):
     return (sums[span:] - sums[:-span]) / span
 
 
+def _alike(n, total, period):
+    """Phases with as many rows in the part, and in the whole series, as each other."""
+    cuts = sorted({0, n % period, total % period, period})
+    return [np.arange(a, b) for a, b in zip(cuts, cuts[1:])]
+
+
 def inner(y, trend, weights, total, period, seasonal, rounds):
     """(seasonal part, trend) after ``rounds`` inner rounds from the given trend.
 
@@ -111,16 +132,20 @@ def inner(y, trend, weights, total, period, seasonal, rounds):
     """
     n = len(y)
     long, low = spans(period, seasonal)
-    part = np.zeros(n)
+    part, cycles = np.zeros(n), []
+    for phases in _alike(n, total, period):
+        cycles.append((phases, phases[:, None] + period * np.arange((n - phases[0] - 1) // period + 1)))
     for _ in range(rounds):
         plain = y - trend
         cycle = np.empty(n + 2 * period)
-        for phase in range(period):
-            held = None if weights is None else weights[phase::period]
-            cycle[phase::period] = smooth(plain[phase::period], seasonal, (total - phase - 1) // period + 1, held, beyond=True)
-        passed = smooth(_means(_means(_means(cycle, period), period), 3), low, total)
+        # phases of one length are smoothed together
+        for phases, lines in cycles:
+            there = total // period + (phases[0] < total % period)
+            held = None if weights is None else weights[lines]
+            cycle[np.hstack([lines, lines[:, -1:] + period, lines[:, -1:] + 2 * period])] = smooth(plain[lines], seasonal, there, held, beyond=True)
+        passed = smooth(_means(_means(_means(cycle, period), period), 3)[None], low, total)[0]
         part = cycle[period:period + n] - passed
-        trend = smooth(y - part, long, total, weights)
+        trend = smooth((y - part)[None], long, total, None if weights is None else weights[None])[0]
     return part, trend
 
 
