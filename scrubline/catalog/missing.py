@@ -90,6 +90,44 @@ def fill_missing_interpolate(t):
     return rounded(out.select("event_id", "v"), "v")
 
 
+def _curve_sql(slope):
+    """Cubics between neighbouring knots, whose slopes come from ``slope``, evaluated at the rows of each gap."""
+    return f"""
+WITH s AS ({EVENT_GAPS}), n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS r FROM s),
+k AS (SELECT CAST(r AS DOUBLE) AS x, v AS y, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM n WHERE v IS NOT NULL),
+h AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS m FROM k WINDOW w AS (ORDER BY i)),
+g AS (SELECT *, lag(h) OVER w AS h0, lag(m) OVER w AS m0, lag(h, 2) OVER w AS h00, lag(m, 2) OVER w AS m00, lead(h) OVER w AS h2, lead(m) OVER w AS m2 FROM h WINDOW w AS (ORDER BY i)),
+d AS (SELECT *, {slope} AS d FROM g),
+c AS (SELECT *, lead(d) OVER (ORDER BY i) AS d2 FROM d),
+f AS (SELECT n.event_id, n.v, n.r - c.x AS t, c.* EXCLUDE (n) FROM n ASOF LEFT JOIN c ON n.r >= c.x),
+l AS (SELECT arg_max(d, i) AS dl, arg_max(y, i) AS yl, arg_max(h0, i) AS hl, arg_max(m0, i) AS ml, arg_max(lag_d, i) AS dp FROM (SELECT *, lag(d) OVER (ORDER BY i) AS lag_d FROM c))
+SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v
+  WHEN h IS NULL THEN yl + t * (dl + t * (((ml - dp) / hl - (dp + dl - 2 * ml) / hl) + 3 * (dp + dl - 2 * ml) / hl + t * (dp + dl - 2 * ml) / hl / hl))
+  ELSE y + t * (d + t * ((m - d) / h - (d + d2 - 2 * m) / h + t * (d + d2 - 2 * m) / h / h)) END, 4) AS v FROM f, l"""
+
+
+def _edge(h0, h1, m0, m1):
+    d = f"((2 * {h0} + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1})"
+    return f"CASE WHEN sign({d}) <> sign({m0}) THEN 0 WHEN sign({m0}) <> sign({m1}) AND abs({d}) > 3 * abs({m0}) THEN 3 * {m0} ELSE {d} END"
+
+
+PCHIP_SLOPE = f"""CASE WHEN i = 1 THEN {_edge('h', 'h2', 'm', 'm2')} WHEN i = n THEN {_edge('h0', 'h00', 'm0', 'm00')} WHEN m0 * m <= 0 THEN 0
+  ELSE 3 * (h + h0) / ((2 * h + h0) / m0 + (h + 2 * h0) / m) END"""
+
+
+@query("fill_missing_pchip", _curve_sql(PCHIP_SLOPE))
+def fill_missing_pchip(t):
+    out = missing.fill_missing_interpolate(event_gaps(t), "v", ["ts", "event_id"], method="pchip", rows_per_bucket=2500)
+    return rounded(out.select("event_id", "v"), "v")
+
+
+# one system over all knots has no SQL form; tests/test_curves.py holds it against a dense solve
+@query("fill_missing_cubicspline")
+def fill_missing_cubicspline(t):
+    out = missing.fill_missing_interpolate(event_gaps(t), "v", ["ts", "event_id"], "user_id", method="cubicspline")
+    return rounded(out.select("event_id", "v"), "v")
+
+
 @query("impute_auto", f"""
 WITH s AS (SELECT o_orderkey, price, prio, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS code FROM ({GAPS})),
 m AS (SELECT quantile_cont(price, 0.5) AS p, quantile_cont(CAST(code AS DOUBLE), 0.5) AS c FROM s),

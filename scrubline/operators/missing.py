@@ -9,6 +9,9 @@ from ..core import (action, as_list, chosen, col, data_type, is_numeric, is_stri
                     numeric_columns, string_columns, with_exprs)
 from ..functions.numbers import to_number
 from ..functions.stats import grouped_quantile, modes, moments, quantiles
+from ..plans.cut import cut
+from .curves import CURVES, KNOTS_PER_CHUNK, curve
+from .curves import at as curve_at
 from .ordered import running
 
 
@@ -159,9 +162,15 @@ def fill_missing_interpolate(df: DataFrame, column=None, order_by=None, partitio
     ``linear`` goes by row position and ``time`` by the first order column (a
     number, date or time); ``nearest`` takes the nearer row's value, the earlier
     one when both are as near; ``previous`` and ``next`` take that neighbour's.
+    ``pchip``, ``akima``, ``cubic`` and ``cubicspline`` draw a curve through the values
+    by row position.
     A leading gap stays null but for ``next``; a trailing gap repeats the last
-    value but for ``next``, where it stays null.
+    value but for ``next``, ``akima`` and ``cubic``, where it stays null, and for ``pchip``
+    and ``cubicspline``, which carry their last piece on.  Curves need two
+    values; NaN and infinite ones are no points of a curve and stay.
     """
+    if method in CURVES:
+        return _curved(df, column, order_by, partition_by, method, rows_per_bucket)
     if method not in ("linear", "time", "nearest", "previous", "next"):
         raise ValueError(f"unsupported interpolation: {method}")
     if method in ("previous", "next"):
@@ -201,6 +210,30 @@ def fill_missing_interpolate(df: DataFrame, column=None, order_by=None, partitio
     return both.select(*[place[c].alias(c) if c in place else col(c) for c in df.columns])
 
 
+def _curved(df: DataFrame, column, order_by, partition_by, method: str, rows_per_bucket: int | None) -> DataFrame:
+    """Rows take the cubic of the last known value at or before them.
+
+    A value before a gap of many rows is one join key; as that side is the
+    table's, the join may split it.
+    """
+    keys, order = as_list(partition_by), as_list(order_by)
+    names = [c for c in chosen(df, column, numeric_columns(df)) if is_numeric(df, c) and c not in keys + order]
+    values = {c: col(c).cast("double") for c in names}
+    point = {c: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) for c, v in values.items()}
+    scans = {"_row": ("count", F.lit(1))} | {f"_k{i}": ("count", F.when(point[c], F.lit(1))) for i, c in enumerate(names)}
+    # read by the knots of every column and by the result
+    out = numbered = cut(running(df, keys, order, scans, rows_per_bucket=rows_per_bucket))
+    for i, c in enumerate(names):
+        knots = numbered.where(point[c]).select(*[col(k).alias(f"_g{j}") for j, k in enumerate(keys)], F.col(f"_k{i}").alias("_knot"),
+                                                F.col("_row").cast("double").alias("_x"), values[c].alias("_y"))
+        groups = [f"_g{j}" for j in range(len(keys))]
+        pieces = curve(knots, groups, method, rows_per_bucket or KNOTS_PER_CHUNK)
+        same = [F.col(f"_k{i}") == F.col("_knot")] + [col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, groups)]
+        filled = F.coalesce(values[c], curve_at(F.col("_row").cast("double")))
+        out = out.join(pieces, same, "left").select(*[filled.alias(n) if n == c else col(n) for n in out.columns])
+    return out.select(*[col(c) for c in df.columns])
+
+
 @action("impute_auto")
 def impute_auto(df: DataFrame, max_null: float = 0.7, columns=None) -> DataFrame:
     """Numeric columns (or text that is mostly numeric) get the median, others the mode.
