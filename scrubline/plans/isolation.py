@@ -79,6 +79,7 @@ def run_isolated(df: DataFrame, steps: list[dict], config: dict | None = None, s
     a job of several steps fails on the data, its steps are run one by one, and
     the failing ones are left out.  A fault of the cluster is raised.
 
+    Without any step to run nothing is read, and ``rows_after`` is None.
     ``steps_run`` tells rows before and after each step and the columns that it added,
     removed and changed.  A column counts as changed if the number of rows, its type or the
     values that it holds differ; with ``keys``, also if the same values moved
@@ -93,6 +94,8 @@ def run_isolated(df: DataFrame, steps: list[dict], config: dict | None = None, s
         off = index < start_from_step or index in off_indices or step["action"] in off_actions
         skipped.append(index) if off else wanted.append((index, step["action"], step.get("params", {})))
 
+    if not wanted:
+        return {"df": df, "steps_run": [], "steps_skipped": skipped, "errors": [], "success": True, "rows_after": None, "columns_after": df.columns}
     current, seen = _observed(df, keys)
     current = cut(current)
     state = _state(df, seen.get)

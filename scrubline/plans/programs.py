@@ -16,7 +16,9 @@ from ..operators import text as text_ops
 from ..operators.fields import domain_clean
 from ..operators.issues import quality_score
 from ..operators.profile import domain_of, per_column
+from .isolation import run_isolated
 from .pipeline import apply_transformation
+from .strategies import domain_steps
 
 
 def auto_clean(df: DataFrame) -> DataFrame:
@@ -186,22 +188,7 @@ def auto_clean_columns(df: DataFrame) -> DataFrame:
     return with_exprs(df, exprs)
 
 
-# --- fixed values: domain -> [(word in the column name or None, action, parameters)] ---
-STRATEGIES = {
-    "sales": [("quantity", "fill_missing", {"strategy": "zero"}), ("discount", "clip_outliers", {"iqr_factor": 2.0})],
-    "customer": [("phone", "normalize_phone", {}), ("postal", "validate_postal_code", {}), ("age", "clip_outliers", {}),
-                 ("gender", "normalise_categories", {}), ("email", "flag_invalid_emails", {})],
-    "financial": [(None, "round_numeric", {"decimals": 2}), ("balance", "fill_missing", {"strategy": "zero"}),
-                  ("amount", "validate_range", {"min_val": 0})],
-    "inventory": [("quantity", "fill_missing", {"strategy": "zero"}), ("expiry", "flag_future_dates", {}), ("sku", "normalise_categories", {})],
-    "hr": [("salary", "fill_missing", {"strategy": "median"}), ("salary", "clip_outliers", {}), ("birth", "age_from_date", {})],
-    "marketing": [("clicks", "fill_missing", {"strategy": "zero"}), ("conversion", "validate_range", {"min_val": 0, "max_val": 100})],
-    "logistics": [("phone", "validate_phone", {}), ("distance", "round_numeric", {"decimals": 2})],
-    "healthcare": [("dob", "age_from_date", {}), ("pressure", "clip_outliers", {"iqr_factor": 3.0}), ("pulse", "clip_outliers", {"iqr_factor": 3.0})],
-    "ecommerce": [("amount", "fill_missing", {"strategy": "zero"}), ("rating", "validate_range", {"min_val": 1, "max_val": 5}),
-                  ("status", "normalise_categories", {})],
-    "general": [],
-}
+# --- fixed value: what stands before an amount of money --------------------------
 CURRENCY_MARK = r"[$€£¥₹₽]"
 # --- end of fixed values -----------------------------------------------------------------
 
@@ -211,6 +198,7 @@ def plan_smart_clean(df: DataFrame, intensity: str = "standard") -> list[dict]:
     domain, confidence = domain_of(df)
     texts = string_columns(df)
     steps = [{"action": "remove_duplicates", "params": {}}]
+    found = {"currency": [], "numbers": [], "dates": []}
     if texts:
         def make(name):
             c = col(name)
@@ -224,10 +212,13 @@ def plan_smart_clean(df: DataFrame, intensity: str = "standard") -> list[dict]:
             if not n:
                 continue
             if s["currency"] > 0.5 * n:
+                found["currency"].append(name)
                 steps.append({"action": "parse_currency", "params": {"column": name, "new_col": name}})
             elif s["commas"] > 0.5 * n:
+                found["numbers"].append(name)
                 steps.append({"action": "parse_number_formatted", "params": {"column": name, "new_col": name}})
             elif s["all_dates"] > 0.8 * n and s["dates"]:
+                found["dates"].append(name)
                 steps.append({"action": "standardise_mixed_dates", "params": {"column": name}})
     numbers = {s["params"].get("column") for s in steps} - {None}
     plain = [t for t in texts if t not in numbers]
@@ -238,11 +229,8 @@ def plan_smart_clean(df: DataFrame, intensity: str = "standard") -> list[dict]:
             named = [t for t in plain if not any(w in t.lower() for w in ("email", "url", "id", "code"))]
             steps += [{"action": "standardise_capitalisation", "params": {"columns": named}},
                       {"action": "normalise_categories", "params": {"columns": named}}] if named else []
-    for word, action, params in STRATEGIES.get(domain, []):
-        if word is None:
-            steps.append({"action": action, "params": params})
-        else:
-            steps += [{"action": action, "params": params | {"column": c}} for c in df.columns if word in c.lower()]
+    # what the profile has planned already is not planned again
+    steps += [s for s in domain_steps(df.columns, texts, domain, found) if s not in steps]
     if intensity != "gentle":
         steps.append({"action": "impute_auto", "params": {}})
     if intensity == "aggressive":
@@ -253,17 +241,14 @@ def plan_smart_clean(df: DataFrame, intensity: str = "standard") -> list[dict]:
 def smart_auto_clean(df: DataFrame, intensity: str = "standard", dry_run: bool = False) -> dict:
     """Plan from a profile, apply, and score before and after.
 
-    ``df`` stays the input on a dry run; ``quality`` is a lazy two-row table.
+    ``df`` stays the input on a dry run; ``quality`` is a lazy two-row table.  A
+    step that doesn't fit, or fails on the data, is reported in ``errors`` and left out;
+    ``applied`` tells rows and changed columns of the others.
     """
     steps = plan_smart_clean(df, intensity)
-    current, done, errors = df, [], []
-    if not dry_run:
-        for step in steps:
-            try:
-                current = apply_transformation(current, step["action"], step["params"])
-                done.append(step)
-            except Exception as error:  # noqa: BLE001 - a step that does not fit is reported
-                errors.append({"action": step["action"], "error": str(error)})
+    run = run_isolated(df, [] if dry_run else steps, dry_run=dry_run)
+    current, errors = run["df"], run["errors"]
+    done = [steps[r["index"]] | {k: r[k] for k in ("rows_before", "rows_after", "columns_changed")} for r in run["steps_run"]]
     before = quality_score(df).withColumn("stage", F.lit("before"))
     quality = before.unionByName(quality_score(current).withColumn("stage", F.lit("after")))
     return {"df": current, "planned": steps, "applied": done, "errors": errors, "quality": quality}
