@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,8 +54,12 @@ def _claim(spark: SparkSession, root: str) -> int:
         files, path = _path(spark, root, f"claims/{number}")
         if not files.exists(path):
             files.mkdirs(path.getParent())
-            if files.createNewFile(path):
-                return number
+            try:
+                if files.createNewFile(path):
+                    return number
+            except Py4JJavaError as error:  # local disks raise if another writer came in between
+                if not files.exists(path):
+                    raise error
         number += 1
 
 

@@ -68,6 +68,28 @@ def test_writers_at_once_get_numbers_of_their_own(spark, df, tmp_path):
     assert {r.version: r["rows"] for r in versions.list_versions(spark, root).collect()} == {n: i + 1 for i, n in enumerate(numbers)}
 
 
+def test_a_number_claimed_in_between_is_passed_over(spark, tmp_path, monkeypatch):
+    path_of, seen = versions._path, []
+
+    class Late:
+        """A file system that first doesn't see another writer's claim."""
+
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def exists(self, path):
+            seen.append(path)
+            return len(seen) > 1 and self.files.exists(path)
+
+    root = str(tmp_path)
+    first = versions._claim(spark, root)
+    monkeypatch.setattr(versions, "_path", lambda *a: (Late(path_of(*a)[0]), path_of(*a)[1]))
+    assert (first, versions._claim(spark, root)) == (1, 2)
+
+
 def test_versions_without_a_tree_are_not_compared(spark, tmp_path):
     root = str(tmp_path)
     one, two = versions.save_version(spark.range(2), root, "a"), versions.save_version(spark.range(2), root, "b", keys="id", buckets=4)
