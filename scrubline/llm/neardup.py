@@ -12,9 +12,10 @@ probability 5e-6 and by the estimate (cut at 0.58, five deviations below) with
 1e-7; more alike pairs less often.
 
 The two bits of 64 minima lie in two longs, one a plane, so that 64 minima are
-compared by two differences, one union and one count; no signature column holds
-nulls.  Both keep the generated method of the join by bucket small enough for the
-JVM to compile it.
+compared by two differences, one union and one count; no signature holds nulls.
+Both keep the generated method of the join by bucket small enough for the JVM to
+compile it.  A signature is one struct, whose longs are read where they are
+compared: as columns, all 64 of a pair are live at once in that method.
 
 Documents of equal word sequences are one node from the start.  A bucket isn't
 expanded into its pairs: twice, each document is compared with one document of
@@ -47,6 +48,8 @@ SHINGLE = 5
 MINIMA, BANDS, BAND_ROWS = 256, 45, 5
 #: minima of the longer signature
 LONG_MINIMA = 1024
+#: rows that a worker turns into Python objects at once, however many an Arrow batch has
+ROWS = 512
 #: rounds of one comparison each before the exact rest
 PIVOT_ROUNDS = 2
 #: bits of the filter that spares the sets of documents without candidates (8 MB at any input size)
@@ -60,6 +63,13 @@ _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _in_parts(batches):
+    """Slices of at most ROWS rows; they share the batch's memory."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            yield batch.slice(first, ROWS)
+
+
 def shingle_set(text: str) -> tuple[np.ndarray, bytes]:
     """Sorted 64-bit hashes of a text's distinct shingles, and a key of its word sequence."""
     import xxhash
@@ -105,13 +115,18 @@ def _columns(count: int) -> list[str]:
     return [f"{plane}{i}" for i in range(count // 64) for plane in "st"]
 
 
+def _signature(count: int) -> Column:
+    """The packed signature as one column."""
+    return F.struct(*_columns(count)).alias("sig")
+
+
 def _fields(count: int) -> list[T.StructField]:
     return [T.StructField(c, T.LongType(), False) for c in _columns(count)]
 
 
 def _signatures(batches):
     numbers = np.arange(BANDS, dtype=np.uint64)
-    for batch in batches:
+    for batch in _in_parts(batches):
         texts = batch.column(1).to_pylist()
         keys, sizes = [], np.zeros(len(texts), np.int64)
         least = np.zeros((len(texts), MINIMA), np.uint32)
@@ -131,15 +146,13 @@ def _signatures(batches):
 
 def _long_signatures(batches):
     """(id, shingles) -> id and the longer signature."""
-    for whole in batches:
-        for first in range(0, whole.num_rows, 512):
-            batch = whole.slice(first, 512)
-            least = np.array([minima(np.frombuffer(x, np.uint64), LONG_MINIMA) for x in batch.column(1).to_pylist()]).reshape(-1, LONG_MINIMA)
-            yield {"id": batch.column(0), **_packed(least)}
+    for batch in _in_parts(batches):
+        least = np.array([minima(np.frombuffer(x, np.uint64), LONG_MINIMA) for x in batch.column(1).to_pylist()]).reshape(-1, LONG_MINIMA)
+        yield {"id": batch.column(0), **_packed(least)}
 
 
 def estimate(left: str, right: str, count: int = MINIMA) -> Column:
-    """Similarity of two packed signatures (column prefixes), corrected for chance equality of two bits."""
+    """Similarity of two packed signatures (column prefixes, or structs with a dot), corrected for chance equality of two bits."""
     return ((1 - _different(left, right, 0, count) / count) - 0.25) / 0.75
 
 
@@ -161,7 +174,7 @@ def least_estimate(percent: int, count: int) -> float:
 def _may_link(left: str, right: str, percent: int, count: int = MINIMA) -> Column:
     """What both the sizes and the estimate allow."""
     a, b = F.col(f"{left}n"), F.col(f"{right}n")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(left, right, count) >= least_estimate(percent, count))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (estimate(f"{left}sig.", f"{right}sig.", count) >= least_estimate(percent, count))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -173,7 +186,7 @@ def _sets_of(wanted):
 
     def run(batches):
         bits = wanted.value
-        for batch in batches:
+        for batch in _in_parts(batches):
             place = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = np.flatnonzero((bits[place >> 3] >> (place & 7)) & 1)
             part = batch.take(pa.array(rows))
@@ -204,7 +217,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _linked(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _in_parts(batches):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -260,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = node.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
     many = cut(buckets.join(shared, "bucket"))
-    signed = cut(named.select("id", "n", *_columns(MINIMA)).join(many.select("id").distinct(), "id", "left_semi"))
+    signed = cut(named.select("id", "n", _signature(MINIMA)).join(many.select("id").distinct(), "id", "left_semi"))
 
     # one comparison each: with the best, in another component, of the most central documents of its buckets
     central = many.groupBy("id").agg(F.sum("many").alias("weight"))
@@ -273,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             there = pivots.join(joined, F.col("b") == F.col("node"), "left").select("bucket", "b", F.coalesce("component", "b").alias("other"))
             first = held.join(there, "bucket").where("component <> other").select(F.col("id").alias("a"), "b").distinct()
-        first = _estimated(first, signed).where(_may_link("a_", "b_", percent)).groupBy("a").agg(F.max_by("b", F.struct(estimate("a_", "b_"), "b")).alias("b"))
+        first = _estimated(first, signed).where(_may_link("a_", "b_", percent)).groupBy("a").agg(F.max_by("b", F.struct(estimate("a_sig.", "b_sig."), "b")).alias("b"))
         joined = joined_by(joined, confirmed(cut(first), sets, percent))
         held = many.join(joined, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
 
@@ -282,11 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = cut(held.join(mixed, "bucket", "left_semi"))
     ids = left.select("id").distinct()
     longer = map_batches(sets.join(ids, "id", "left_semi"), _long_signatures, T.StructType([
-        T.StructField("id", kind), *_fields(LONG_MINIMA)]))
+        T.StructField("id", kind), *_fields(LONG_MINIMA)])).select("id", _signature(LONG_MINIMA))
     known = node.select("id", "n", "bands").join(ids, "id", "left_semi").join(longer, "id")
     here = left.join(known, "id")
     before = F.slice("bands", F.lit(1), F.array_position("bands", F.col("bucket")).cast("int") - 1)
-    here = here.select("bucket", "id", "component", "n", before.alias("before"), *_columns(LONG_MINIMA))
+    here = here.select("bucket", "id", "component", "n", before.alias("before"), "sig")
     second = _prefixed(here, "a_").join(_prefixed(here, "b_"), (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
                                         & _may_link("a_", "b_", percent, LONG_MINIMA) & ~F.arrays_overlap("a_before", "b_before"))
     joined = joined_by(joined, confirmed(cut(second.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), sets, percent))

@@ -91,6 +91,33 @@ def test_estimate_is_close_to_the_similarity(spark):
         assert abs(r["e"] - len(s & t) / len(s | t)) < 0.13
 
 
+def test_near_duplicates_take_batches_in_parts(spark):
+    pa = __import__("pyarrow")
+    n = 2 * neardup.ROWS + 3
+    texts = [f"some words of text number {i}" for i in range(n)]
+    sets = [neardup.shingle_set(t)[0].tobytes() for t in texts]
+    wanted = spark.sparkContext.broadcast(neardup.np.full(1, 255, neardup.np.uint8))
+    for run, columns in (
+            (neardup._signatures, {"id": list(range(n)), "text": texts}),
+            (neardup._sets_of(wanted), {"id": list(range(n)), "place": [i % 8 for i in range(n)], "text": texts}),
+            (neardup._linked(75), {"a": list(range(n)), "b": list(range(n)), "x": sets, "y": sets})):
+        parts = list(run([pa.record_batch(columns), pa.record_batch(columns).slice(0, 0)]))
+        first = [p.get("id", p.get("a")).to_pylist() for p in parts]
+        assert max(map(len, first)) <= neardup.ROWS and sum(first, []) == list(range(n))
+
+
+def test_near_duplicates_join_a_signature_as_one_column(spark, monkeypatch):
+    prefixed, widths = neardup._prefixed, []
+
+    def seen(df, prefix):
+        widths.append(len(df.columns))
+        return prefixed(df, prefix)
+
+    monkeypatch.setattr(neardup, "_prefixed", seen)
+    assert neardup.near_duplicates(spark.createDataFrame(near_rows()[:40], "doc_id long, text string")).count() == 40
+    assert widths and max(widths) <= 6
+
+
 def test_components_of_paths_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(201, 202), (202, 203), (203, 201), (5, 5), (300, 299)]
     got = {r["node"]: r["component"] for r in graphs.components(spark.createDataFrame(links, "a long, b long")).collect()}
