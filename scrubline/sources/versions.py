@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import math
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,6 +43,13 @@ def _log(spark: SparkSession, root: str, row: tuple) -> None:
     line.select(*names).coalesce(1).write.parquet(f"{root.rstrip('/')}/manifest/line{row[0]}")
 
 
+def _created(spark: SparkSession, files, path) -> bool:
+    """Whether this call made the file; on local disks Hadoop looks first and then creates, so that writers at once may both or neither succeed."""
+    if files.getUri().getScheme() == "file":
+        return spark._jvm.java.io.File(files.makeQualified(path).toUri().getPath()).createNewFile()
+    return files.createNewFile(path)
+
+
 def _claim(spark: SparkSession, root: str) -> int:
     """A number that no other writer has: the first whose claim file this one creates.
 
@@ -54,12 +60,8 @@ def _claim(spark: SparkSession, root: str) -> int:
         files, path = _path(spark, root, f"claims/{number}")
         if not files.exists(path):
             files.mkdirs(path.getParent())
-            try:
-                if files.createNewFile(path):
-                    return number
-            except Py4JJavaError as error:  # local disks raise if another writer came in between
-                if not files.exists(path):
-                    raise error
+            if _created(spark, files, path):
+                return number
         number += 1
 
 
