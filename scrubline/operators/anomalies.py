@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..core import action, as_list, chosen, col, is_numeric, is_temporal, numeric_columns, string_columns
+from ..core import action, as_list, batches, chosen, col, is_numeric, is_temporal, numeric_columns, string_columns
 from ..functions.dates import as_timestamp
 from ..functions.numbers import to_number
 from ..functions.stats import moments, quantiles
@@ -90,40 +92,149 @@ def _grow(names: list[str], max_depth: int):
     return grow
 
 
+# --- fixed values ------------------------------------------------------------
+TREE_CELLS = 1 << 18    # cells of one tree's table; a tree with more is walked node by node
+FOREST_CELLS = 1 << 24  # cells of all tables of a forest
+TREES_PER_BLOCK = 128   # trees whose cuts are ranked together
+MOST_BUCKETS = 20       # bits of the bucket that bounds a value's copies
+# --- end of fixed values -----------------------------------------------------
+
+
+def _expected(n):
+    """Expected depth of a leaf that holds n rows."""
+    import numpy as np
+
+    n = np.asarray(n, dtype=float)
+    big = np.maximum(n, 2.0)
+    value = 2.0 * (np.log(np.maximum(big - 1.0, 1.0)) + 0.5772156649) - 2.0 * (big - 1.0) / big
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
+
+
+def _table(nodes: list[tuple], features: int, most: int):
+    """``(cuts by feature, cells, depths)`` of a tree, or None if it has more than ``most`` cells.
+
+    A row's rank in a feature is the number of the tree's cuts that are not above its value.  The cells hold the
+    leaf that each combination of ranks leads to, the last feature's ranks side by side.
+    """
+    import numpy as np
+
+    cuts = [np.unique([n[1] for n in nodes if n[0] == j]) for j in range(features)]
+    shape = [len(c) + 1 for c in cuts]
+    if math.prod(shape) > most:
+        return None
+    leaves = [n for n in nodes if n[0] < 0]
+    cells = np.zeros(shape, dtype=np.min_scalar_type(len(leaves)))
+    depths, sizes, todo = [], [], [(0, 0, [slice(0, n) for n in shape])]
+    while todo:
+        at, depth, box = todo.pop()
+        feature, cut_at, left, right, size = nodes[at]
+        if feature < 0:
+            cells[tuple(box)] = len(depths)
+            depths.append(depth)
+            sizes.append(size)
+            continue
+        border, span = int(np.searchsorted(cuts[feature], cut_at)) + 1, box[feature]
+        below, above = slice(span.start, min(span.stop, border)), slice(max(span.start, border), span.stop)
+        todo += [(child, depth + 1, [*box[:feature], half, *box[feature + 1:]]) for child, half in ((left, below), (right, above))]
+    return cuts, cells.ravel(), np.array(depths, dtype=float) + _expected(sizes)
+
+
+def _walk(nodes: list[tuple]):
+    """``(levels, features, cuts, children, depths)`` of a tree whose leaves are their own children."""
+    import numpy as np
+
+    feature, cut_at, left, right, size = (np.array(x) for x in zip(*nodes))
+    here = np.arange(len(nodes))
+    leaf = feature < 0
+    children = np.column_stack([np.where(leaf, here, left), np.where(leaf, here, right)]).ravel()
+    level = np.zeros(len(nodes), dtype=int)
+    for at in np.nonzero(~leaf)[0]:     # a node comes before its children
+        level[[left[at], right[at]]] = level[at] + 1
+    return int(level.max()), np.where(leaf, 0, feature), cut_at, children, level + _expected(size)
+
+
 def _scorer(trees: list[list[tuple]], sample: int):
-    """Arrow batch function: anomaly score 2^(-mean depth / expected depth)."""
-    def score(*columns: pd.Series) -> pd.Series:
-        import numpy as np
+    """Arrow batch function: anomaly score 2^(-mean depth / expected depth).
+
+    Trees become tables: a value is ranked once among the cuts of a block of trees, small tables turn this rank into
+    one tree's share of the cell's number, and numbers of several trees are added up as bit fields of one integer.
+    """
+    import numpy as np
+
+    features = 1 + max((n[0] for nodes in trees for n in nodes), default=-1)
+    most = min(TREE_CELLS, FOREST_CELLS // max(len(trees), 1))
+    blocks = []
+    for block in batches(trees, TREES_PER_BLOCK):
+        tables = [_table(nodes, features, most) for nodes in block]
+        cuts = [np.unique(np.concatenate([t[0][j] for t in tables if t] or [[]])) for j in range(features)]
+        groups, bits = [], 64
+        for nodes, table in zip(block, tables):
+            if table is None:
+                groups.append((None, [_walk(nodes)]))
+                bits = 64
+                continue
+            own, cells, depths = table
+            width = (len(cells) - 1).bit_length()
+            if bits + width > 63:
+                groups.append(([np.zeros(len(c) + 1, dtype=np.int64) for c in cuts], []))
+                bits = 0
+            step = 1
+            for j in reversed(range(features)):
+                groups[-1][0][j][1:] += (np.searchsorted(own[j], cuts[j], side="right") * step) << bits
+                step *= len(own[j]) + 1
+            groups[-1][1].append((bits, (1 << width) - 1, cells, depths))
+            bits += width
+        blocks.append((cuts, groups))
+    scale = max(float(_expected(sample)), 1e-9)
 
-        def expected(n):
-            n = np.asarray(n, dtype=float)
-            big = np.maximum(n, 2.0)
-            value = 2.0 * (np.log(np.maximum(big - 1.0, 1.0)) + 0.5772156649) - 2.0 * (big - 1.0) / big
-            return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, value))
-
-        data = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        depth = np.zeros(len(data))
-        for nodes in trees:
-            feature, cut_at, left, right, size = (np.array(x) for x in zip(*nodes))
-            at = np.zeros(len(data), dtype=int)
-            steps = np.zeros(len(data))
-            moving = feature[at] >= 0
-            while moving.any():
-                rows = np.nonzero(moving)[0]
-                here = at[rows]
-                below = data[rows, feature[here]] < cut_at[here]
-                at[rows] = np.where(below, left[here], right[here])
-                steps[rows] += 1
-                moving[rows] = feature[at[rows]] >= 0
-            depth += steps + expected(size[at])
-        mean = depth / max(len(trees), 1)
-        result = 2.0 ** (-mean / max(float(expected(sample)), 1e-9))
-        result[np.isnan(data).any(axis=1)] = np.nan
+    def score(*columns: pd.Series) -> pd.Series:
+        data = [c.to_numpy(dtype=float) for c in columns]
+        rows = len(data[0])
+        depth, found = np.zeros(rows), np.zeros(rows)
+        number, part = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
+        flat = row = None
+        # trees are added in their order, so that rows of the same leaves get the same sum to the last bit
+        for cuts, groups in blocks:
+            rank = [np.searchsorted(c, x, side="right") for c, x in zip(cuts, data)]
+            for shares, members in groups:
+                if shares is None:
+                    if flat is None:
+                        flat, row = np.concatenate(data), np.arange(rows)
+                    levels, feature, cut_at, children, depths = members[0]
+                    at = np.zeros(rows, dtype=np.int64)
+                    for _ in range(levels):
+                        at = children[2 * at + ~(flat[feature[at] * rows + row] < cut_at[at])]
+                    depth += depths[at]
+                    continue
+                for j in range(features):
+                    np.take(shares[j], rank[j], out=part if j else number, mode="clip")
+                    if j:
+                        number += part
+                for shift, mask, cells, depths in members:
+                    np.right_shift(number, shift, out=part)
+                    np.bitwise_and(part, mask, out=part)
+                    np.take(depths, cells.take(part, mode="clip"), out=found, mode="clip")
+                    depth += found
+        result = 2.0 ** (-(depth / max(len(trees), 1)) / scale)
+        result[np.isnan(data).any(axis=0)] = np.nan
         return pd.Series(result)
 
     return score
 
 
+def _packed(score):
+    """Arrow function over batches: one row with the scores of a batch, so that keeping them costs their bytes only."""
+    def pack(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            scores = score(*[c.to_pandas() for c in part.columns]).to_numpy()
+            ends = pa.array([0, len(scores)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(scores))], ["s"])
+
+    return pack
+
+
 @action("isolation_forest")
 def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, trees: int = 100, sample: int = 256,
                      seed: int = 42, score_col: str = "anomaly_score", flag_col: str = "is_anomaly") -> DataFrame:
@@ -132,11 +243,17 @@ def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, t
     Equal rows are counted, and each value is drawn in proportion to its count;
     its copies are dealt over the trees by hash.  Every tree is grown by one task
     from at most ``sample`` of them; the forest (at most trees * 2 * sample small
-    nodes) scores all rows in Arrow batches.
+    nodes) scores all rows in Arrow batches: once for the cut, which is read from
+    the kept scores, and once for the result.
     """
     names = [c for c in chosen(df, columns, numeric_columns(df)) if is_numeric(df, c)]
     values = df.select(*[col(c).cast("double").alias(c) for c in names]).dropna()
-    count = values.count()
+    # equal rows share a bucket, so that a bucket's rows bound the copies of each of its values
+    hashed = F.xxhash64(*[col(c) for c in names], F.lit(seed), F.lit(0))
+    buckets = 1 << min((8 * trees * sample - 1).bit_length(), MOST_BUCKETS)
+    bucket = hashed.bitwiseAND(F.lit(buckets - 1))
+    counts = cut(values.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_most")))
+    count, top = counts.agg(F.sum("_most"), F.max("_most")).first()
     if not count:
         return df.withColumns({score_col: F.lit(None).cast("double"), flag_col: F.lit(False)})
     sample = min(sample, count)
@@ -145,22 +262,30 @@ def isolation_forest(df: DataFrame, columns=None, contamination: float = 0.05, t
 
     # a draw from [0, 1) by the value, so that it doesn't depend on how rows are dealt; a value with c rows is drawn
     # rate * c times, rounded up or down by the draw so that this holds on average
-    chance = F.pmod(F.xxhash64(*[col(c) for c in names], F.lit(seed), F.lit(0)), F.lit(1 << 53)) / float(1 << 53)
-    picked = values.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_c")).withColumn(
+    chance = hashed.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    # values that not even their bucket's rows would draw needn't be counted: about an eighth of many different ones is left
+    hopeful = values.where(F.lit(rate) * F.lit(top) + chance >= 1).withColumn("_b", bucket).join(
+        F.broadcast(counts), "_b").where(F.lit(rate) * F.col("_most") + chance >= 1)
+    picked = hopeful.groupBy(*[col(c) for c in names]).agg(F.count(F.lit(1)).alias("_c")).withColumn(
         "_n", F.floor(F.lit(rate) * F.col("_c") + chance).cast("long")).where("_n > 0")
     drawn = picked.withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).withColumn(
         "_h", F.xxhash64(*[col(c) for c in names], F.lit(seed), F.col("_d"))).withColumn(
         "_tree", F.pmod("_h", F.lit(trees)).cast("int"))
-    ranked = drawn.withColumn("_r", F.row_number().over(W.partitionBy("_tree").orderBy("_h"))).where(F.col("_r") <= sample)
+    # by number, or the few rows would become one task, which grows all trees
+    spread = min(trees, max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    ranked = drawn.repartition(spread, "_tree").withColumn(
+        "_r", F.row_number().over(W.partitionBy("_tree").orderBy("_h"))).where(F.col("_r") <= sample)
     depth = max(1, (sample - 1).bit_length())
     grown = ranked.select("_tree", "_h", *[col(c) for c in names]).groupBy("_tree").applyInPandas(
         _grow(names, depth), "tree int, node int, feature int, cut double, left int, right int, size int")
     forest: dict[int, list[tuple]] = {}
-    for r in grown.orderBy("tree", "node").collect():
+    for r in sorted(grown.collect(), key=lambda r: (r.tree, r.node)):
         forest.setdefault(r.tree, []).append((r.feature, r.cut, r.left, r.right, r["size"]))
-    score = F.pandas_udf(_scorer(list(forest.values()), sample), "double")
+    scorer = _scorer(list(forest.values()), sample)
+    kept = cut(values.mapInArrow(_packed(scorer), "s array<double>"))
+    cut_at = quantiles(kept.select(F.explode("s").alias("s")), {"s": F.col("s")}, [1 - contamination])["s"][0]
+    score = F.pandas_udf(scorer, "double")
     scored = df.withColumn(score_col, score(*[col(c).cast("double") for c in names]))
-    cut_at = quantiles(scored, {"s": col(score_col)}, [1 - contamination])["s"][0]
     return scored.withColumn(flag_col, F.coalesce(col(score_col) > F.lit(cut_at), F.lit(False)))
 
 

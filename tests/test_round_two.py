@@ -1,5 +1,7 @@
 """Answers that must not depend on number size, line breaks, cycles or partitioning."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from scrubline import operators  # noqa: F401
@@ -82,6 +84,70 @@ def test_forest_sees_few_and_hot_values(spark, monkeypatch):
     assert 0.30 < sum(hot) / 100 < 0.40 and max(hot) < 0.6
 
 
+def test_forest_scores_by_tables_as_by_nodes(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"x": rng.integers(0, 9, 900).astype(float), "y": rng.normal(size=900), "z": rng.normal(size=900).round(1)})
+    trees = []
+    for t in range(9):
+        part = rows.sample(100, random_state=t).assign(_tree=t, _h=range(100))
+        trees.append([(r.feature, r.cut, r.left, r.right, r.size_) for r in anomalies._grow(["x", "y", "z"], 7)(part).rename(columns={"size": "size_"}).itertuples()])
+    trees[4] = [(-1, 0.0, -1, -1, 3)]
+    # values on a cut, beyond all cuts and missing
+    rows.loc[:2, "y"] = [next(n[1] for n in trees[0] if n[0] == 1), float("inf"), float("-inf")]
+    rows.loc[3, "z"] = float("nan")
+
+    def expected(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2.0 * (np.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n
+
+    def score(row):
+        depth = 0.0
+        for nodes in trees:
+            at = steps = 0
+            while nodes[at][0] >= 0:
+                at, steps = nodes[at][2] if row[nodes[at][0]] < nodes[at][1] else nodes[at][3], steps + 1
+            depth += steps + expected(nodes[at][4])
+        return 2.0 ** (-(depth / len(trees)) / expected(100))
+
+    wanted = [float("nan") if np.isnan(r).any() else score(r) for r in rows.to_numpy()]
+    # all trees as tables, some of them, none, and several blocks
+    for cells, block in ((1 << 18, 128), (6000, 128), (0, 128), (1 << 18, 2)):
+        monkeypatch.setattr(anomalies, "TREE_CELLS", cells)
+        monkeypatch.setattr(anomalies, "TREES_PER_BLOCK", block)
+        assert np.allclose(anomalies._scorer(trees, 100)(rows.x, rows.y, rows.z), wanted, rtol=1e-14, atol=0, equal_nan=True)
+
+
+def test_forest_scores_each_row_twice_at_most(spark, monkeypatch, tmp_path):
+    scorer, log = anomalies._scorer, str(tmp_path / "scored")
+
+    def counting(trees, sample):
+        score = scorer(trees, sample)
+
+        def counted(*columns: pd.Series) -> pd.Series:
+            with open(log, "a") as f:
+                f.write(f"{len(columns[0])}\n")
+            return score(*columns)
+
+        return counted
+
+    monkeypatch.setattr(anomalies, "_scorer", counting)
+    # more rows than the quantile takes at once, and two that have no score
+    df = spark.range(60_000).selectExpr("id", "cast(if(id < 2, NULL, xxhash64(id) % 1000) AS double) AS x", "cast(id % 7 AS double) AS y")
+    out = anomalies.isolation_forest(df, ["x", "y"], trees=10).collect()
+    assert len(out) == 60_000 and sum(r.is_anomaly for r in out) <= 3000 and sum(r.anomaly_score is None for r in out) == 2
+    with open(log) as f:
+        assert sum(int(line) for line in f) <= 120_000
+
+
+def test_forest_draws_the_same_by_any_number_of_buckets(spark, monkeypatch):
+    df = spark.range(100_000).selectExpr("CASE WHEN id % 5 = 0 THEN 7D WHEN id % 5 = 1 THEN id % 100 * if(id % 2 = 0, 1D, -1D) WHEN id % 5 = 2 THEN if(id % 2 = 0, 0D, -0D) ELSE double(id) END AS x", "cast(id % 3 AS double) AS y")
+    scorer, forests = anomalies._scorer, []
+    monkeypatch.setattr(anomalies, "_scorer", lambda trees, sample: forests.append(trees) or scorer(trees, sample))
+    for bits in (0, 6, 20):  # one bucket holds all rows, so that all values are counted
+        monkeypatch.setattr(anomalies, "MOST_BUCKETS", bits)
+        anomalies.isolation_forest(df, ["x", "y"], trees=8, sample=64)
+    assert len(forests[0]) == 8 and forests[0] == forests[1] == forests[2]
+
+
 def test_sql_keeps_all_rows(spark):
     assert aggregate.sql_query(spark.range(150_000).toDF("i"), "SELECT i FROM df").count() == 150_000
 
